@@ -34,12 +34,24 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate(table(spark, sf_dir, "documents"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.personal_data import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.sentencepiece import encode, load
 
     return encode(table(spark, sf_dir, "documents"), load(vocabulary_file(PIECES)), check=True)
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.fingerprints import compare_with_edits
+
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.common import Scratch
     from quern.llm.token_files import digest, read_token_files, write_token_files
