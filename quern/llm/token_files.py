@@ -77,15 +77,19 @@ class Encoder:
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         if len(self.cache) > CACHED_WORDS:
             self.older, self.cache = self.cache, {}
-        cut = [None if UNSAFE.search(t) else t.split(" ") for t in texts]
-        new: set[str] = set()
-        for x in cut:
-            if x:
-                new.update(x[1:])
-        self.learn(list(new - self.cache.keys()))
-        rest = iter(self.raw([t if x is None else x[0] for t, x in zip(texts, cut)]))
-        get = self.cache.__getitem__
-        return [next(rest) + (b"" if x is None else b"".join(map(get, x[1:]))) + end for x in cut]
+        find, missing, rows = self.cache.get, set(), []
+        for t in texts:
+            if UNSAFE.search(t):
+                rows.append((t, (), ()))
+            else:
+                first, *rest = t.split(" ")
+                found = list(map(find, rest))
+                if None in found:
+                    missing.update([w for w, ids in zip(rest, found) if ids is None])
+                rows.append((first, rest, found))
+        self.learn(list(missing))
+        firsts, get = self.raw([first for first, _, _ in rows]), self.cache.__getitem__
+        return [a + b"".join([get(w) if ids is None else ids for w, ids in zip(rest, found)] if None in found else found) + end for a, (_, rest, found) in zip(firsts, rows)]
 
 
 def encoder(spec: str) -> Encoder:
