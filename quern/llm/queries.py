@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.substring_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.quality_classifier import classify
 
@@ -34,6 +40,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.mixing import plan_mix
+
+    return plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.personal_data import find
 
