@@ -34,12 +34,24 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.near_dedup import Settings, link
+
+    return link(table(spark, sf_dir, "documents"), s=Settings(shingle=2))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.quality_rules import rate
 
     return rate(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.mixing import plan_mix
 
