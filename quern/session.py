@@ -23,3 +23,16 @@ def importable(spark: SparkSession) -> SparkSession:
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     return spark
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for checkpoints that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        import tempfile
+
+        found = "file://" + tempfile.mkdtemp(prefix="quern-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(found)
+    return found
