@@ -1,83 +1,123 @@
 """Substring dedup: hash every run of several consecutive sentences, join the hashes globally, and remove sentences
 that a non-first occurrence of a repeated run covers.
 
-A sentence ends behind ., ! or ? and white space, or behind a line end; it keeps what separates it from the next, so
-that sentences join to the text again. Sentences are compared by their words. A run has `span` sentences and at
-least `least` words; a sentence of `long` words or more is a run by itself. Of the occurrences of a run, over all documents, the
-one with the smallest (doc_id, place) is the first and stays; the others' sentences go.
-
-A run occurs as one row a place; occurrences are counted before they meet, so a run that many documents share
-costs one row a task, and the join that marks its places can be split.
-
-Cases: null text is empty; empty texts stay; null ids come first; rows with one id are told apart by a hash of the
-text, and equal rows, which nothing tells apart, are one document: all copies of the row get the same text; an
+A sentence ends behind ., ! or ? with white space, or behind a line end; it keeps the white space behind it, so
+sentences join to the text again. Sentences are compared by their words. From each sentence on, and up to each
+sentence, the shortest run that has `span` sentences and `least` words counts, so long passages of short sentences are
+found as well; a sentence of `long` words or more is a run by itself. Of the occurrences of a run, over all
+documents, the one with the smallest (doc_id, place) is the first and stays; the others' sentences go.
+
+Occurrences of a run are counted before they meet, so a run that many documents share costs one row a task, and the
+join that marks its places can be split. A passage of twice `least` words in `span` sentences or more is found whole,
+wherever it stands.
+
+Cases: null text is empty; empty texts stay; rows without an id count as ids below all others; rows with one id are
+told apart by a hash of the text, and equal rows are one document, so all copies of the row get the same text; an
 empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from quern.llm.common import SPACES, Scratch, let
-
-
-def sentences(text: Column) -> Column:
-    """The text in pieces that concat to it: cut behind sentence ends and line ends."""
-    t = F.coalesce(text, F.lit(""))
-    # zero-width cuts behind the white space of a sentence end, and behind a line end that no other follows
-    return F.filter(F.split(t, r"(?<=[.!?][\x20\x09\x0B-\x0D])(?![\x20\x09-\x0D])|(?<=\n)(?!\n)", -1), lambda x: x != "")
-
-
-def spans(pieces: Column, span: int, least: int, long: int) -> Column:
-    """array<struct<at, size, hash>>: each run of `span` consecutive sentences with `least` words or more, and each sentence with `long`."""
-    key = F.transform(pieces, lambda x: let(F.filter(F.split(x, f"[{SPACES}]+", -1), lambda w: w != ""), lambda w: F.struct(F.xxhash64(F.array_join(w, " ")).alias("h"), F.size(w).alias("n"))))
-
-    empty = F.array().cast("array<struct<at:int,size:int,hash:bigint,n:int>>")
-
-    def runs(k: Column) -> Column:
-        n = F.size(k)
-
-        def run(i: Column, size: int) -> Column:
-            words_in = sum((F.get(k, i + j)["n"] for j in range(1, size)), F.get(k, i)["n"])
-            return F.struct(i.alias("at"), F.lit(size).alias("size"), F.xxhash64(*(F.get(k, i + j)["h"] for j in range(size))).alias("hash"), words_in.alias("n"))
-
-        several = F.when(n >= span, F.filter(F.transform(F.sequence(F.lit(0), n - span), lambda i: run(i, span)), lambda x: x["n"] >= least)).otherwise(empty)
-        alone = F.when(F.exists(k, lambda x: x["n"] >= long), F.filter(F.transform(F.sequence(F.lit(0), n - 1), lambda i: run(i, 1)), lambda x: x["n"] >= long)).otherwise(empty)
-        return F.concat(several, alone)
-
-    return let(key, runs)
+import re
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 2, least: int = 20, long: int = 40) -> DataFrame:
+from quern.llm.common import Scratch
+
+#: What ends a sentence.
+END = re.compile(r"[.!?][\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*")
+#: Rows without an id.
+NO_ID = -(1 << 63)
+
+
+def sentences(text: str) -> list[str]:
+    """The text in pieces that join to it."""
+    out, at = [], 0
+    for m in END.finditer(text):
+        out.append(text[at : m.end()])
+        at = m.end()
+    return [*out, text[at:]] if at < len(text) else out
+
+
+def runs(pieces: list[str], span: int, least: int, long: int) -> list[tuple[int, int, int]]:
+    """(first sentence, number of sentences, hash) of each run."""
+    from xxhash import xxh3_64_intdigest as digest
+
+    words = [p.encode().split() for p in pieces]
+    n, size = len(words), [len(w) for w in words]
+    keys = np.array([digest(b" ".join(w)) for w in words], "<u8").tobytes()
+    found = {(i, i + 1) for i in range(n) if size[i] >= long}
+    total = j = 0
+    for i in range(n):  # from each sentence on
+        while j < n and (j < i + span or total < least):
+            total += size[j]
+            j += 1
+        if j < i + span or total < least:
+            break
+        found.add((i, j))
+        total -= size[i]
+    total, i = 0, n
+    for j in range(n, 0, -1):  # up to each sentence
+        while i > 0 and (i > j - span or total < least):
+            i -= 1
+            total += size[i]
+        if i > j - span or total < least:
+            break
+        found.add((i, j))
+        total -= size[j - 1]
+    return [(i, j - i, digest(keys[8 * i : 8 * j]) - (1 << 63)) for i, j in sorted(found)]
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 2, least: int = 25, long: int = 40) -> DataFrame:
     """Per row: doc_id, n_sentences, n_removed, n_chars (of what stays), text (what stays)."""
     s = Scratch(docs.sparkSession, "substring-dedup")
-    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(t).alias("row"), t.alias("text"))
-    # equal rows count as one document
-    places = base.select("doc_id", "row", F.explode(spans(sentences(F.col("text")), span, least, long)).alias("s")).select("doc_id", "row", "s.at", "s.size", "s.hash")
-    first = F.min(F.struct("doc_id", "row", "at")).alias("first")
-    repeated = places.groupBy("hash").agg(first, F.max(F.struct("doc_id", "row", "at")).alias("last")).where(F.col("first") != F.col("last")).select(F.col("hash").alias("shared"), "first")
-    later = places.join(repeated, F.col("hash") == F.col("shared")).where(F.struct("doc_id", "row", "at") != F.col("first"))
-    gone = later.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("starts"))
-    gone = s.write(gone.select(F.col("doc_id").alias("of"), F.col("row").alias("of_row"), "starts"), "removed")
-    joined = base.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row")), "left")
-
-    def kept(pieces: Column) -> Column:
-        # for each start its sentences; starts ascend, so gaps between their runs are what stays
-        n = F.size(pieces)
-        begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("gone"), F.array().cast("array<string>").alias("out"))
-
-        def step(a: Column, x: Column) -> Column:
-            at, stop = x["at"], F.least(n, x["at"] + x["size"])
-            gap = F.slice(pieces, a["at"] + 1, F.greatest(F.lit(0), at - a["at"]))
-            out = F.when(at > a["at"], F.concat(a["out"], F.array(F.array_join(gap, "")))).otherwise(a["out"])
-            return F.struct(F.greatest(stop, a["at"]).alias("at"), (a["gone"] + F.greatest(F.lit(0), stop - F.greatest(a["at"], at))).alias("gone"), out.alias("out"))
-
-        done = F.aggregate(F.col("starts"), begin, step)
-        return F.when(F.col("starts").isNull(), F.struct(n.alias("n"), F.lit(0).alias("gone"), F.col("text").alias("text"))).otherwise(
-            let(done, lambda d: F.struct(n.alias("n"), d["gone"].alias("gone"), F.concat(F.array_join(d["out"], ""), F.array_join(F.slice(pieces, d["at"] + 1, F.greatest(F.lit(0), n - d["at"])), "")).alias("text")))
-        )
-
-    out = joined.select("doc_id", let(sentences(F.col("text")), kept).alias("k"))
-    return out.select("doc_id", F.col("k.n").cast("long").alias("n_sentences"), F.col("k.gone").cast("long").alias("n_removed"), F.length("k.text").cast("long").alias("n_chars"), F.col("k.text").alias("text"))
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def key(text: str) -> int:
+        return zlib.crc32(text.encode()) - (1 << 31)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                b = batch.slice(lo, 200)
+                cols: tuple[list, ...] = ([], [], [], [])
+                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if t:
+                        found = runs(sentences(t), span, least, long)
+                        cols[0].extend([h for _, _, h in found])
+                        cols[1].extend([i] * len(found))
+                        cols[2].extend([key(t)] * len(found))
+                        cols[3].extend([at << 32 | n for at, n, _ in found])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], names=["hash", "id", "row", "place"])
+
+    # place: first sentence in the high half, number of sentences in the low half
+    places = base.mapInArrow(split, "hash long, id long, row int, place long")
+    where = F.struct("id", "row", "place")
+    shared = places.groupBy(F.col("hash").alias("of")).agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first <> last").select("of", "first")
+    later = places.join(shared, F.col("hash") == F.col("of")).where(where != F.col("first"))
+    gone = s.write(later.groupBy("id", "row").agg(F.sort_array(F.collect_set("place")).alias("places")), "removed")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                b = batch.slice(lo, 500)
+                ids, sizes, lost, texts = [], [], [], []
+                for i, t, marked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    pieces, drop = sentences(t or ""), set()
+                    for p in marked or ():
+                        drop.update(range(p >> 32, (p >> 32) + (p & 0xFFFFFFFF)))
+                    ids.append(None if i == NO_ID else i)
+                    sizes.append(len(pieces))
+                    lost.append(len(drop))
+                    texts.append("".join([x for k, x in enumerate(pieces) if k not in drop]) if drop else t or "")
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(lost, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_sentences", "n_removed", "n_chars", "text"])
+
+    # the same number as key()
+    own = (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) - (1 << 31)).cast("int")
+    both = base.join(gone, (F.col("doc_id") == F.col("id")) & (own == F.col("row")), "left").select("doc_id", "text", "places")
+    return both.mapInArrow(cut, "doc_id long, n_sentences long, n_removed long, n_chars long, text string")
