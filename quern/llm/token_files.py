@@ -12,33 +12,43 @@ come first; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose token ids a Python worker keeps; the cache starts again when it is full.
+#: Words whose token ids a Python worker keeps; a full cache becomes the older one.
 CACHED_WORDS = 600_000
-#: White space that isn't a single space after a visible character: such texts are encoded as a whole.
-UNSAFE = re.compile(r"\s ")
+#: Texts with white space before a space aren't cut into words. (More than the tokenizer's white space does no harm.)
+UNSAFE = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}] "
 #: Fixed value: marks that may end a word.
-MARKS = ".,;:!?)"
+MARKS = ".,;:!?)#$%&*|"
+#: Documents and bytes of text that are encoded at once.
+DOCUMENTS, BYTES = 2_000, 8 << 20
 
 _encoders: dict[str, Encoder] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters by which byte-level tokenizers write bytes: a printable byte is itself, the others follow from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
     """The tokenizer with a cache by word.
 
     A single space after a visible character always begins a new pre-token, so a text may be cut before each of
-    them without any effect on the ids. Texts with other white space before a space aren't cut. A mark of
-    punctuation that ends a word after a letter or digit begins a new pre-token too.
+    them without any effect on the ids. Texts with other white space before a space aren't cut. Marks that end a word
+    after a letter or digit are a pre-token of their own, and a word of letters with its space is one, which goes to
+    the tokenizer's model directly.
     """
 
     def __init__(self, spec: str):
@@ -47,49 +57,80 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.cache: dict[str, bytes] = {}  # of words with a space before them
         self.older: dict[str, bytes] = {}  # the cache before it was last full
+        self.tails: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        probe = ["the", "Straße", "été", "данные", "日本", "x" * 40]
+        self.direct = self.tokenizer.normalizer is None and [self.word(w) for w in probe] == self.raw([" " + w for w in probe])
 
     def raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
+    def word(self, w: str) -> bytes:
+        """Ids of a word of letters, with a space before it."""
+        w = " " + w
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
     def learn(self, words: list[str]) -> None:
         """Puts words that the cache lacks into it."""
-        cache, older, fresh, marked = self.cache, self.older, {}, []
+        cache, older, fresh, marked = self.cache, self.older, [], []
         for w in words:
             if (ids := older.get(w)) is not None:
                 cache[w] = ids
-            elif w[-1:] in MARKS and w[-2:-1].isalnum():
-                marked.append(w)
-                if (stem := w[:-1]) not in cache:
-                    if (ids := older.get(stem)) is not None:
-                        cache[stem] = ids
-                    else:
-                        fresh[stem] = None
+                continue
+            stem = w.rstrip(MARKS)
+            if stem != w and stem[-1:].isalnum():
+                marked.append((w, stem))
+                if stem in cache:
+                    continue
+                if (ids := older.get(stem)) is not None:
+                    cache[stem] = ids
+                    continue
             else:
-                fresh[w] = None
-        keys = list(fresh)
-        for lo in range(0, len(keys), 5_000):
-            cache.update(zip(keys[lo : lo + 5_000], self.raw([" " + k for k in keys[lo : lo + 5_000]])))
-        ends = dict(zip(MARKS, self.raw(list(MARKS))))
-        for w in marked:
-            cache[w] = cache[w[:-1]] + ends[w[-1]]
-
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
+                stem = w
+            if self.direct and stem.isalpha():
+                cache[stem] = self.word(stem)
+            else:
+                fresh.append(stem)
+        for lo in range(0, len(fresh), 5_000):
+            part = fresh[lo : lo + 5_000]
+            cache.update(zip(part, self.raw([" " + k for k in part])))
+        tails = self.tails
+        new = list({w[len(stem) :] for w, stem in marked} - tails.keys())
+        if len(tails) > 10_000:
+            tails.clear()
+            new = list({w[len(stem) :] for w, stem in marked})
+        tails.update(zip(new, self.raw(new)))
+        for w, stem in marked:
+            cache[w] = cache[stem] + tails[w[len(stem) :]]
+
+    def encode(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each followed by end, and where each text's begin, and the last's end."""
         if len(self.cache) > CACHED_WORDS:
             self.older, self.cache = self.cache, {}
-        find, missing, rows = self.cache.get, set(), []
-        for t in texts:
-            if UNSAFE.search(t):
-                rows.append((t, (), ()))
-            else:
-                first, *rest = t.split(" ")
-                found = list(map(find, rest))
-                if None in found:
-                    missing.update([w for w, ids in zip(rest, found) if ids is None])
-                rows.append((first, rest, found))
-        self.learn(list(missing))
-        firsts, get = self.raw([first for first, _, _ in rows]), self.cache.__getitem__
-        return [a + b"".join([get(w) if ids is None else ids for w, ids in zip(rest, found)] if None in found else found) + end for a, (_, rest, found) in zip(firsts, rows)]
+        n = len(texts)
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
+        at = cut.offsets.to_numpy().astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        missing = [w for w in words if w not in self.cache]
+        self.learn(missing)
+        # what stands at a text's start has no space before it; a text that isn't cut is one piece
+        firsts = [t.split(" ", 1)[0] for t in pc.if_else(pa.array(whole), "", texts).to_pylist()]
+        for k, t in zip(np.flatnonzero(whole), texts.filter(pa.array(whole)).to_pylist()):
+            firsts[k] = t
+        pieces = [*map(self.cache.__getitem__, words), *self.raw(firsts), end]
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        start = np.cumsum(size) - size
+        index = coded.indices.to_numpy().astype(np.int64)
+        index[at[:-1]] = len(words) + np.arange(n)
+        index = np.insert(index, at[1:], len(pieces) - 1)
+        took = size[index]
+        total = np.concatenate([[0], np.cumsum(took)])
+        ids = np.frombuffer(b"".join(pieces), "<i4")[np.arange(total[-1]) + np.repeat(start[index] - total[:-1], took)]
+        return ids, total[at + np.arange(n + 1)]
 
 
 def encoder(spec: str) -> Encoder:
@@ -111,14 +152,16 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, end_id: int = 2, id_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, start = encoder(spec.value), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                b = batch.slice(lo, 500)
-                got = enc.encode([t or "" for t in b.column(1).to_pylist()], end)
-                n_tokens = np.fromiter((len(x) // 4 for x in got), dtype=np.int64, count=len(got))
-                offsets = np.concatenate([[0], np.cumsum(n_tokens)])
-                ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(got), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(got), part, np.int32)), pa.array(start + offsets[:-1]), pa.array(n_tokens), ids], schema=schema)
-                start += int(offsets[-1])
+            texts = batch.column(1)
+            size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            lo = 0
+            while lo < batch.num_rows:
+                hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo : lo + DOCUMENTS]), BYTES, "right")))
+                ids, at = enc.encode(texts.slice(lo, hi - lo), end)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.full(hi - lo, part, np.int32)), pa.array(start + at[:-1]), pa.array(np.diff(at)), lists], schema=schema)
+                start += int(at[-1])
+                lo = hi
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(run, "doc_id long, part int, local_start long, n_tokens long, ids array<int>")
