@@ -407,12 +407,16 @@ def test_token_file_format(spark, tmp_path):
 
 
 def test_encoder_cuts_like_the_tokenizer():
+    import pyarrow as pa
+
     rnd = random.Random(1)
     with open(vocabulary_file(TOKENIZER), encoding="utf-8") as f:
         e = token_files.Encoder(f.read())
-    for _ in range(3000):
-        s = "".join(rnd.choice(["a", "b", " ", " ", "\n", "\r", "\t", "'s", ",", " ", "1", "é", ".", "x.", " ", "²"]) for _ in range(rnd.randint(0, 14)))
-        assert np.frombuffer(e.encode([s], b"")[0], "<u4").tolist() == e.tokenizer.encode(s, add_special_tokens=False).ids, repr(s)
+    assert e.direct
+    texts = ["".join(rnd.choice(["a", "b", " ", " ", "\n", "\r", "\t", "'s", ",", " ", "1", "é", ".", "x.", " ", "²", "!!", "#*", "\u00a0", "漢"]) for _ in range(rnd.randint(0, 14))) for _ in range(4000)] + [None, "", " "]
+    ids, at = e.encode(pa.array(texts, pa.string()), np.array([2], "<u4").tobytes())
+    for t, a, b in zip(texts, at[:-1], at[1:], strict=True):
+        assert ids[a:b].tolist() == [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 2], repr(t)
 
 
 # ---- classifier ----------------------------------------------------------------------------------------------------
