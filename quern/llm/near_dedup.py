@@ -10,7 +10,8 @@
    Confirmed links are joined to components. A second round takes leaders by chance, in lists that still hold several components.
 4. What then still lies in one list but in different components is compared exhaustively: members outside the
    list's largest component against all, in blocks of bounded size, by counting shared shingles through the block's
-   inverted lists. So long lists are skipped, not dropped, and no link between components is lost.
+   inverted lists. So long lists are skipped, not dropped, and no link between components is lost. Lists that hang
+   together by their members, and fit in one block together, are compared as one, so that a set moves once.
 
 A document is missed only if a linked pair shares fewer than `matches` of `coordinates` values: at 80 % similarity,
 60 of 96 fall short with a probability of about 2 in 100,000, and a component then still holds by its other links.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch
+from quern.llm.common import SPACE_CHARS, Scratch
 
 
 @dataclass(frozen=True)
@@ -121,16 +122,17 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, s: Settings) -> DataFrame:
-    """(node, shingles) for documents (doc_id, text)."""
+    """(node, signature, shingles) for documents (doc_id, text) that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shingler(s)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                b = batch.slice(lo, 1000)
-                yield pa.RecordBatch.from_arrays([b.column(0), _lists([f.set((t or "").encode()).view(np.int64) for t in b.column(1).to_pylist()], pa.int64())], names=["node", "shingles"])
+            for lo in range(0, batch.num_rows, 200):
+                b = batch.slice(lo, 200)
+                found = [f.set((t or "").encode()) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists([f.signature(x) for x in found], pa.int32()), _lists([x.view(np.int64) for x in found], pa.int64())], names=["node", "signature", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, signature array<int>, shingles array<long>")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -161,15 +163,20 @@ def _linked(shared: object, a: object, b: object, percent: int) -> object:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """Of pairs (a, b), those with enough signature matches whose full sets are similar."""
-    one = sets.select(F.col("node").alias("a"), F.col("signature").alias("sig_a"), F.col("shingles").alias("set_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("signature").alias("sig_b"), F.col("shingles").alias("set_b"))
-    j = pairs.join(one, "a").join(two, "b")
+    """Of pairs (a, b), those with enough signature matches whose full sets are similar.
+
+    Sets move once a pair at most: to where the pair's smaller node is. Of few pairs, 16 bytes each, the sets' rows
+    that they need are picked where they lie.
+    """
+    near = F.broadcast if pairs.count() <= s.few_ids else lambda x: x
+    one = sets.select(F.col("node").alias("of"), F.col("signature").alias("sig_a"), F.col("shingles").alias("set_a")).join(near(pairs.select(F.col("a").alias("of")).distinct()), "of", "left_semi")
+    two = sets.select(F.col("node").alias("b"), F.col("signature").alias("sig_b"), F.col("shingles").alias("set_b")).join(near(pairs), "b")
+    j = two.join(one, F.col("a") == F.col("of"))
     n, m = F.size("set_a"), F.size("set_b")
     close = 100 * F.least(n, m) >= s.percent * F.greatest(n, m)
     alike = F.size(F.filter(F.arrays_zip("sig_a", "sig_b"), lambda x: x["sig_a"] == x["sig_b"])) >= s.matches
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return j.where(close & F.when(close, alike).otherwise(False)).where(_linked(shared, n, m, s.percent)).select("a", "b")
+    return j.where(F.when(close & alike, _linked(shared, n, m, s.percent)).otherwise(False)).select("a", "b")
 
 
 def _cross_links(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
@@ -205,6 +212,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Set
     classes = w.write(signed.where("set_key is not null and doc_id is not null").groupBy(F.col("set_key").alias("key")).agg(F.min("doc_id").alias("node")), "classes")
     nodes = signed.join(classes, (F.col("set_key") == F.col("key")) & (F.col("doc_id") == F.col("node"))).dropDuplicates(["set_key", "node"]).select("node", "signature")
     nodes = w.write(nodes, "nodes")
+    sized = w.write(signed.drop("signature"), "sized")
+    w.drop("signed")
 
     # postings under (coordinate, value); those that one node alone has are told by their absence
     posted = nodes.select("node", F.posexplode("signature").alias("i", "v")).select("node", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("v")).alias("pair"))
@@ -220,9 +229,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Set
     left = w.write(prefix.select("node").distinct(), "left")
     few = left.count() <= s.few_ids  # of so many ids, 8 bytes each
     mine = base.join(F.broadcast(left) if few else left, F.col("doc_id") == F.col("node")).select("doc_id", "text")
-    sets = shingle_sets(mine, s).join(nodes, "node") if not few else shingle_sets(mine, s).join(F.broadcast(left), "node").join(nodes, "node")
-    # rows with one id and different texts: each text's set under its own class's signature only is not told apart; all are tried
-    sets = w.write(sets.dropDuplicates(["node", "shingles"]), "sets")
+    sets = w.write(shingle_sets(mine.where(F.trim(F.translate("text", SPACE_CHARS, " ")) != ""), s), "sets")
+    if sets.count() > left.count():  # repeated rows, or rows with one id and different texts: all are tried, equal ones once
+        sets = w.write(sets.dropDuplicates(["node", "shingles"]), "sets-once")
+    w.drop("nodes", "prefix-all")
 
     comp = None
     links = None
@@ -233,7 +243,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Set
         leaders = at.groupBy(F.col("pair").alias("of")).agg(F.min_by(F.struct("node", "component"), F.struct(order, F.col("node"))).alias("lead"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("of", "lead")
         pairs = at.join(leaders, F.col("pair") == F.col("of")).where(F.col("component") != F.col("lead.component"))
         pairs = pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).groupBy("a", "b").agg(F.count("*").alias("collisions")).select("a", "b")
-        pairs = w.write(pairs, f"pairs-{k}")
+        if k:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = tried = w.write(pairs, f"pairs-{k}")
         found = w.write(_confirmed(pairs, sets, s), f"links-{k}")
         links = found if links is None else links.unionByName(found)
         comp = w.write(components(links, w, f"stars-{k}"), f"components-{k}")
@@ -241,8 +253,21 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Set
     # lists that still hold several components: members outside the largest one against all, in blocks
     sizes = sets.groupBy("node").agg(F.max(F.size("shingles")).cast("long").alias("size"))
     at = prefix.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sizes, "node")
+    members = at.groupBy("pair").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("all"))
+    # the first round has compared both members of a list of two; of lists with the same members one is enough
+    once = members.where("all > 2").groupBy("x", "y", "all").agg(F.min("pair").alias("only")).select("only")
+    at = w.write(at.join(once, F.col("pair") == F.col("only"), "left_semi"), "lists")
+    mixed = at.groupBy("pair").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("node").alias("lead")).where("c0 <> c1")
+    at = w.write(at.join(mixed.select(F.col("pair").alias("of"), "lead"), F.col("pair") == F.col("of")).select("pair", "node", "component", "size", "lead"), "mixed")
+    # lists that share members overlap in most of them: where all that hang together fit in a block, they are one list
+    heap = components(at.select(F.col("node").alias("a"), F.col("lead").alias("b")), w, "heaps").select(F.col("node").alias("in"), F.col("component").alias("heap"))
+    at = at.join(heap, F.col("node") == F.col("in"))
+    small = at.select("heap", "node", "size").distinct().groupBy(F.col("heap").alias("one")).agg(F.sum("size").alias("words")).where(F.col("words") <= s.block).select("one")
+    at = at.join(small, F.col("heap") == F.col("one"), "left")
+    # should a heap's number equal a list's, both are compared with each other in vain, but nothing is lost
+    at = w.write(at.select(F.when(F.col("one").isNotNull(), F.xxhash64(F.lit("heap"), "heap")).otherwise(F.col("pair")).alias("pair"), "node", "component", "size").distinct(), "heaped")
     by = at.groupBy("pair", "component").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    open_lists = by.groupBy(F.col("pair").alias("of")).agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"), F.sum("words").alias("words"), F.max(F.struct("n", "component", "words"))["words"].alias("held")).where("parts > 1")
+    open_lists = by.groupBy(F.col("pair").alias("of")).agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("words").alias("words"), F.max(F.struct("n", "component", "words"))["words"].alias("held"))
     blocks = lambda words: F.ceil(words / s.block).cast("int")
     at = w.write(at.join(open_lists, F.col("pair") == F.col("of")).select("pair", "node", "component", (F.col("component") != F.col("largest")).alias("outside"), blocks(F.col("words")).alias("cols"), blocks(F.col("words") - F.col("held")).alias("rows")), "open")
     within = lambda n: F.pmod(F.xxhash64("node"), n.cast("long")).cast("int")
@@ -256,7 +281,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Set
     links = links.unionByName(w.write(last.distinct(), "links-last"))
     comp = w.write(components(links, w, "stars-last"), "components-last")
 
-    out = signed.select("doc_id", "n_shingles", "set_key").join(classes, F.col("set_key") == F.col("key"), "left").join(comp.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    out = sized.join(classes, F.col("set_key") == F.col("key"), "left").join(comp.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
