@@ -16,7 +16,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quern.operators.text import tokens
 
@@ -112,10 +112,10 @@ class WordCount(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, D
         found = schema[self.getInputCol()].dataType.simpleString()
         if found != "string":
             raise TypeError(f"{self.getInputCol()} is {found}, not string")
-        return schema.add(self.getOutputCol(), "int")
+        return StructType([*schema.fields, StructField(self.getOutputCol(), IntegerType())])
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        self.transformSchema(StructType(df.schema.fields))
+        self.transformSchema(df.schema)
         return df.withColumn(self.getOutputCol(), F.size(tokens(self.getInputCol())).cast("int"))
 
 
