@@ -99,6 +99,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     places = base.mapInArrow(split, "hash long, id long, row int, place long")
     where = F.struct("id", "row", "place")
     shared = places.groupBy(F.col("hash").alias("of")).agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first <> last").select("of", "first")
+    shared = s.write(shared, "shared")  # read from a table, so that the join below has an exchange on both sides, which can be split
     later = places.join(shared, F.col("hash") == F.col("of")).where(where != F.col("first"))
     gone = s.write(later.groupBy("id", "row").agg(F.sort_array(F.collect_set("place")).alias("places")), "removed")
 
