@@ -11,7 +11,7 @@
 4. What then still lies in one list but in different components is compared exhaustively: members outside the
    list's largest component against all, in blocks of bounded size, by counting shared shingles through the block's
    inverted lists. So long lists are skipped, not dropped, and no link between components is lost. Lists that hang
-   together by their members, and fit in one block together, are compared as one, so that a set moves once.
+   together by their members are compared as one where fewer sets move so.
 
 A document is missed only if a linked pair shares fewer than `matches` of `coordinates` values: at 80 % similarity,
 60 of 96 fall short with a probability of about 2 in 100,000, and a component then still holds by its other links.
@@ -162,21 +162,26 @@ def _linked(shared: object, a: object, b: object, percent: int) -> object:
     return 100 * shared >= percent * (a + b - shared)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+def _brought(pairs: DataFrame, values: DataFrame, near) -> DataFrame:
+    """pairs (a, b) with both nodes' columns, as ..._a and ..._b: b's move to a, once a pair; a's once."""
+    one = values.select(*(F.col(c).alias(f"{c}_a") for c in values.columns)).join(near(pairs.select(F.col("a").alias("node_a")).distinct()), "node_a", "left_semi")
+    two = values.select(F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in values.columns)).join(near(pairs), "b")
+    return two.join(one, F.col("a") == F.col("node_a"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings, w: Scratch, name: str) -> DataFrame:
     """Of pairs (a, b), those with enough signature matches whose full sets are similar.
 
-    Sets move once a pair at most: to where the pair's smaller node is. Of few pairs, 16 bytes each, the sets' rows
-    that they need are picked where they lie.
+    Signatures, which are short, are compared first; sets move for the pairs that they leave. Of few pairs, 16 bytes
+    each, the rows that they need are picked where they lie.
     """
     near = F.broadcast if pairs.count() <= s.few_ids else lambda x: x
-    one = sets.select(F.col("node").alias("of"), F.col("signature").alias("sig_a"), F.col("shingles").alias("set_a")).join(near(pairs.select(F.col("a").alias("of")).distinct()), "of", "left_semi")
-    two = sets.select(F.col("node").alias("b"), F.col("signature").alias("sig_b"), F.col("shingles").alias("set_b")).join(near(pairs), "b")
-    j = two.join(one, F.col("a") == F.col("of"))
-    n, m = F.size("set_a"), F.size("set_b")
-    close = 100 * F.least(n, m) >= s.percent * F.greatest(n, m)
-    alike = F.size(F.filter(F.arrays_zip("sig_a", "sig_b"), lambda x: x["sig_a"] == x["sig_b"])) >= s.matches
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    return j.where(F.when(close & alike, _linked(shared, n, m, s.percent)).otherwise(False)).select("a", "b")
+    marks = sets.select("node", "signature", F.size("shingles").alias("n"))
+    close = 100 * F.least("n_a", "n_b") >= s.percent * F.greatest("n_a", "n_b")
+    alike = F.size(F.filter(F.arrays_zip("signature_a", "signature_b"), lambda x: x["signature_a"] == x["signature_b"])) >= s.matches
+    left = w.write(_brought(pairs, marks, near).where(F.when(close, alike).otherwise(False)).select("a", "b"), f"alike-{name}")
+    shared, n, m = F.size(F.array_intersect("shingles_a", "shingles_b")), F.size("shingles_a"), F.size("shingles_b")
+    return _brought(left, sets.select("node", "shingles"), near).where(_linked(shared, n, m, s.percent)).select("a", "b")
 
 
 def _cross_links(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
@@ -210,7 +215,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Set
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = w.write(signatures(base, s), "signed")
     classes = w.write(signed.where("set_key is not null and doc_id is not null").groupBy(F.col("set_key").alias("key")).agg(F.min("doc_id").alias("node")), "classes")
-    nodes = signed.join(classes, (F.col("set_key") == F.col("key")) & (F.col("doc_id") == F.col("node"))).dropDuplicates(["set_key", "node"]).select("node", "signature")
+    nodes = signed.join(classes, (F.col("set_key") == F.col("key")) & (F.col("doc_id") == F.col("node"))).select("node", "signature")
     nodes = w.write(nodes, "nodes")
     sized = w.write(signed.drop("signature"), "sized")
     w.drop("signed")
@@ -246,7 +251,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Set
         if k:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = tried = w.write(pairs, f"pairs-{k}")
-        found = w.write(_confirmed(pairs, sets, s), f"links-{k}")
+        found = w.write(_confirmed(pairs, sets, s, w, str(k)), f"links-{k}")
         links = found if links is None else links.unionByName(found)
         comp = w.write(components(links, w, f"stars-{k}"), f"components-{k}")
 
@@ -259,10 +264,16 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Set
     at = w.write(at.join(once, F.col("pair") == F.col("only"), "left_semi"), "lists")
     mixed = at.groupBy("pair").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("node").alias("lead")).where("c0 <> c1")
     at = w.write(at.join(mixed.select(F.col("pair").alias("of"), "lead"), F.col("pair") == F.col("of")).select("pair", "node", "component", "size", "lead"), "mixed")
-    # lists that share members overlap in most of them: where all that hang together fit in a block, they are one list
+    # lists that share members overlap in most of them: those that hang together may be compared as one list
     heap = components(at.select(F.col("node").alias("a"), F.col("lead").alias("b")), w, "heaps").select(F.col("node").alias("in"), F.col("component").alias("heap"))
     at = at.join(heap, F.col("node") == F.col("in"))
-    small = at.select("heap", "node", "size").distinct().groupBy(F.col("heap").alias("one")).agg(F.sum("size").alias("words")).where(F.col("words") <= s.block).select("one")
+    # as one, each member moves once for each block of outsiders, and each outsider once a block; else once a list
+    parts = at.select("heap", "node", "component", "size").distinct().groupBy("heap", "component").agg(F.sum("size").alias("words"))
+    whole = parts.groupBy(F.col("heap").alias("one")).agg(F.sum("words").alias("words"), (F.sum("words") - F.max("words")).alias("out"))
+    moved = at.groupBy("heap").agg(F.sum("size").alias("apart"))
+    times = lambda x: F.ceil(x / s.block)
+    together = F.col("words") * times(F.col("out")) + F.col("out") * times(F.col("words"))
+    small = whole.join(moved, F.col("one") == F.col("heap")).where(together <= F.col("apart") + F.col("words")).select("one")
     at = at.join(small, F.col("heap") == F.col("one"), "left")
     # should a heap's number equal a list's, both are compared with each other in vain, but nothing is lost
     at = w.write(at.select(F.when(F.col("one").isNotNull(), F.xxhash64(F.lit("heap"), "heap")).otherwise(F.col("pair")).alias("pair"), "node", "component", "size").distinct(), "heaped")
