@@ -30,7 +30,7 @@ UNSAFE = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}] "
 #: Fixed value: marks that may end a word.
 MARKS = ".,;:!?)#$%&*|"
 #: Documents and bytes of text that are encoded at once.
-DOCUMENTS, BYTES = 2_000, 8 << 20
+DOCUMENTS, BYTES = 2_000, 4 << 20
 
 _encoders: dict[str, Encoder] = {}
 
@@ -129,7 +129,9 @@ class Encoder:
         index = np.insert(index, at[1:], len(pieces) - 1)
         took = size[index]
         total = np.concatenate([[0], np.cumsum(took)])
-        ids = np.frombuffer(b"".join(pieces), "<i4")[np.arange(total[-1]) + np.repeat(start[index] - total[:-1], took)]
+        at_once = np.repeat((start[index] - total[:-1]).astype(np.int32), took)
+        at_once += np.arange(total[-1], dtype=np.int32)
+        ids = np.frombuffer(b"".join(pieces), "<i4")[at_once]
         return ids, total[at + np.arange(n + 1)]
 
 
