@@ -40,7 +40,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("near_dedup", dedup), ("personal_data", privacy), ("mixing", mixture), ("sentencepiece", tokens)]
 
-#: SQL can't express near-dedup by signatures, expectation-maximisation or Viterbi; the tests compare with brute force.
+#: SQL can't express near-dedup by signatures, expectation-maximisation or Viterbi.
 ORACLE_SQL = None
 
 
