@@ -5,7 +5,8 @@ times its own words; what that cuts off goes to the others by weight, until none
 sources by the highest quotients votes / (2 * seats + 1), then within a source to its shards in the same way. A shard
 lays its documents out in seeded order and takes its quota of blocks from a seeded start, round and round.
 
-The driver holds a row for each source and each shard (a shard has about `rows_each` documents), never a document.
+A source of n documents has about sqrt(n / rows_each) shards, so the shards, a row each on the driver, and the rows that
+one task lays out both grow with the square root of the source. The driver never holds a document.
 
 Cases: null text has no words, and takes none; null sources are one source of their own, last; documents with one id
 are told apart by size, and equal rows take their places as they come; an empty table gives no rows; extra columns
@@ -15,6 +16,7 @@ are ignored by plan_mix() and kept by mix(). Results depend on the rows and the
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,7 +82,12 @@ def n_words(text: Column) -> Column:
     return (F.length(t) - F.length(F.replace(t, F.lit("x"), F.lit("")))).cast("long")
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 64, rows_each: int = 20_000, seed: int = 11) -> DataFrame:
+def n_shards(n: int, rows_each: int) -> int:
+    """The square root of n / rows_each, rounded up."""
+    return math.isqrt(max(0, -(-n // rows_each) - 1)) + 1
+
+
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 64, rows_each: int = 64, seed: int = 11) -> DataFrame:
     """Per row: doc_id, source, size, source_size, target, shard, taken (words of it in the mix, repeats counted)."""
     spark = docs.sparkSession
     s = Scratch(spark, "mixing")
@@ -89,7 +96,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     want = targets({k: v for k, (v, _) in by_source.items()})
     kind = "source string, source_size long, target double, parts int"
     names = list(by_source)
-    sources = F.broadcast(spark.createDataFrame([(k, by_source[k][0], want[k], -(-by_source[k][1] // rows_each)) for k in names], kind))
+    sources = F.broadcast(spark.createDataFrame([(k, by_source[k][0], want[k], n_shards(by_source[k][1], rows_each)) for k in names], kind))
     place = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.col("parts").cast("long")).cast("int")
     sharded = sizes.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.doc_id", "d.source", "d.size", "source_size", "target", place.alias("shard"))
     shards: dict[str | None, list[tuple[int, int]]] = {}
