@@ -11,6 +11,8 @@ empty table gives no rows; extra columns are ignored; rows with one id are order
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,11 +71,12 @@ def written(a: Column) -> Column:
     return F.base64(F.unhex(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")))
 
 
-def in_ranges(docs: DataFrame, id_col: str, bucket: str, rows_each: int = 2_000, groups: int = 64) -> tuple[DataFrame, list[int]]:
-    """docs with a bucket that ascends with the id, about rows_each rows in one; and each group's first bucket.
+def in_ranges(docs: DataFrame, id_col: str, bucket: str, rows_each: int = 8, groups: int = 64) -> tuple[DataFrame, list[int]]:
+    """docs with a bucket that ascends with the id; and the groups.
 
-    Ids fall into `groups` ranges by approximate quantiles, and each range into equal widths by its number of rows; what
-    the driver gets is a row for each group. Any ids work; bunched ids only make some buckets larger.
+    Ids fall into `groups` ranges by approximate quantiles, and a range of n rows into about sqrt(n / rows_each) equal
+    widths, so the buckets of a range and the rows of a bucket both grow with the square root of its rows; what the driver
+    gets is a row for each group. Any ids work; bunched ids only make some buckets larger.
     """
     i = F.col(id_col).cast("long")
     cuts = sorted({int(x) for x in docs.select(F.percentile_approx(i, [g / groups for g in range(1, groups)], 10_000)).first()[0] or []})
@@ -83,7 +86,7 @@ def in_ranges(docs: DataFrame, id_col: str, bucket: str, rows_each: int = 2_000,
     within = F.lit(0).cast("long")
     for r in stats:
         if r.lo is not None:
-            parts = max(1, -(-r.n // rows_each))
+            parts = math.isqrt(max(0, -(-r.n // rows_each) - 1)) + 1
             within = F.when(group == r.g, F.floor((i - r.lo) * F.lit(float(parts) / (r.hi - r.lo + 1)))).otherwise(within)
     return docs.withColumn(bucket, group.cast("long") * (1 << 40) + within), sorted(r.g for r in stats)
 
