@@ -322,6 +322,30 @@ def test_substring_dedup(spark, docs, empty):
     assert substring_dedup.dedup(docs).count() == len(rows()) and substring_dedup.dedup(empty).count() == 0
 
 
+def test_substring_dedup_passage_with_running_edges(spark):
+    """Over 50 words verbatim, but fewer than 25 of them in whole shared sentences."""
+    rnd = random.Random(3)
+    some = lambda n: [f"q{rnd.random()}" for _ in range(n)]
+    mid = [*some(5), "end.", *some(15), "end."]
+    kept = lambda w: (0, " ".join(w))
+    texts, want = {}, {}
+    for k, (left, right) in enumerate(((31, 0), (1, 29), (15, 14))):  # those of different edges share 22 words
+        head, tail = [*some(left - 1), "end."], some(right)
+        for j in range(4):
+            before, after = [*some(4 + j), *head], [*tail, *some(9), "stop.", "Last", "words."]
+            i = 10 * k + j
+            texts[i] = " ".join([*before, *mid, *after])
+            want[i] = (2, " ".join([*before, *after])) if j else kept([*before, *mid, *after])
+        n = min(left, 28)  # 50 words in common
+        texts[100 + k] = " ".join(["own", *head[-n:], *mid, *tail[: 28 - n], *some(5)])
+        want[100 + k] = kept([texts[100 + k]])
+    df = spark.createDataFrame([*texts.items(), (100, texts[100])], "doc_id long, text string")
+    got = substring_dedup.dedup(df).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        assert (r.n_removed, r.text) == want[r.doc_id], r.doc_id
+
+
 # ---- mixing --------------------------------------------------------------------------------------------------------
 def seats_one_by_one(votes, seats, most):
     got = [0] * len(votes)
