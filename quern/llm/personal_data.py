@@ -35,7 +35,7 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Kinds in the order in which spans are listed; the last two come from the method only.
 KINDS = (*BASE, "secret", "id")
 #: Candidates: long runs of letters, digits and underscores; national phone numbers; 3-2-4 digit groups.
-CANDIDATE = r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{12,64}+(?![A-Za-z0-9_])|(?<![0-9+(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])|(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+CANDIDATE = r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{12,}+(?![A-Za-z0-9_])|(?<![0-9+(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])|(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 #: Fixed value: openings of well-known keys.
 KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "glpat", "xoxb", "xoxp", "sk_live", "rk_live", "AIza")
 #: Fixed value: words that stand before secrets and personal numbers.

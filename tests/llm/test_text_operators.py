@@ -162,6 +162,20 @@ def test_personal_data_added_and_redacted(spark):
     assert personal_data.redact(df.limit(0)).columns == df.columns
 
 
+def test_personal_data_long_secrets(spark):
+    rnd = random.Random(5)
+    some = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n))
+    hexes, letters = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    secrets = [s for _ in range(10) for s in (f"github_pat_{some(letters, 22)}_{some(letters, 59)}", some(hexes, 128))]
+    texts = [f"token = {s} ok" for s in secrets] + [f"see {s} there" for s in secrets] + ["plain_words_" * 20 + "7", "1" * 300, "words only"] + ["some_identifier_name_2 and http_server_version_11"] * 20
+    df = spark.createDataFrame([(k, t, 7) for k, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.spans for r in personal_data.find(df).collect()}
+    want = [f"secret:{t.index(s)}:{t.index(s) + len(s)}" for t, s in zip(texts, secrets * 2)] + [""] * 23
+    assert {len(s) for s in secrets} == {93, 128} and [got[k] for k in range(len(texts))] == want
+    out = {r.doc_id: r.text for r in personal_data.redact(df, length_col="n_chars").collect()}
+    assert {out[k] for k in range(40)} == {"token = [SECRET] ok", "see [SECRET] there"} and [out[k] for k in range(40, len(texts))] == texts[40:]
+
+
 # ---- fingerprints --------------------------------------------------------------------------------------------------
 def shingles(t, n=5):
     w = WORD.findall(t or "")
