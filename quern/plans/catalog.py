@@ -113,6 +113,13 @@ def explode_structs(t, spark, d):
     return relational.exploded_ratio(nested, "o_orderkey", "items", "attributes", "squeeze")
 
 
+@query("SELECT o_orderkey, l_extendedprice / l_quantity AS squeeze FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def explode_structs_all(t, spark, d):
+    lines = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.array("l_extendedprice", "l_quantity").alias("attributes"))).alias("items"))
+    nested = t("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return relational.exploded_ratio(nested, "o_orderkey", "items", "attributes", "squeeze")
+
+
 @query("SELECT vec_id, pos - 1 AS pos, CAST(v AS DOUBLE) AS v FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings)")
 def explode_array(t, spark, d):
     return t("embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("v").cast("double").alias("v"))
