@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +22,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose token ids a Python worker keeps; a full cache becomes the older one.
-CACHED_WORDS = 600_000
+#: Bytes of words, ids and offsets that a worker keeps, in Arrow arrays: when they are passed, the older half goes.
+CACHED_BYTES = 16 << 20
+#: Longer words are encoded, but not kept.
+KEPT_WORD = 64
 #: Texts with white space before a space aren't cut into words. (More than the tokenizer's white space does no harm.)
 UNSAFE = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}] "
-#: Fixed value: marks that may end a word.
+#: Marks that may end a word: behind a letter or digit, a run of them is a pre-token of its own.
 MARKS = ".,;:!?)#$%&*|"
-#: Documents and bytes of text that are encoded at once.
-DOCUMENTS, BYTES = 2_000, 4 << 20
+MARKED, STEM = r"[\p{L}\p{N}][" + MARKS + "]+$", r"(?s)^.*[\p{L}\p{N}]"
+#: Documents and bytes of text that are encoded at once; rows that Spark hands to a worker at once.
+DOCUMENTS, BYTES, BATCH_ROWS = 2_000, 4 << 20, 2_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -42,97 +44,106 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
 
+def _joined(a: pa.ListArray, b: pa.ListArray) -> pa.ListArray:
+    """Each list of a followed by that of b."""
+    n, both = len(a), pa.concat_arrays([a, b])
+    order = np.arange(2 * n).reshape(2, n).T.ravel()
+    found = both.take(pa.array(order))
+    return pa.ListArray.from_arrays(pa.array(found.offsets.to_numpy()[::2]), found.flatten())
+
+
 class Encoder:
     """The tokenizer with a cache by word.
 
     A single space after a visible character always begins a new pre-token, so a text may be cut before each of
     them without any effect on the ids. Texts with other white space before a space aren't cut. Marks that end a word
     after a letter or digit are a pre-token of their own, and a word of letters with its space is one, which goes to
-    the tokenizer's model directly.
+    the tokenizer's model directly. What is kept lies in Arrow arrays, a few bytes a word, and is looked up and put
+    together without a Python object for a word; only new words are handled one by one.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.cache: dict[str, bytes] = {}  # of words with a space before them
-        self.older: dict[str, bytes] = {}  # the cache before it was last full
-        self.tails: dict[str, bytes] = {}
+        self.words = pa.array([], pa.string())  # without the space before them and the marks behind them
+        self.ids = pa.array([], pa.list_(pa.int32()))
         self.letters = byte_letters()
+        self.space = self.letters[0x20]
         probe = ["the", "Straße", "été", "данные", "日本", "x" * 40]
-        self.direct = self.tokenizer.normalizer is None and [self.word(w) for w in probe] == self.raw([" " + w for w in probe])
+        self.direct = self.tokenizer.normalizer is None and [self.word(w) for w in probe] == self.raw([" " + w for w in probe]).to_pylist()
 
-    def raw(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+    def raw(self, texts: list[str]) -> pa.ListArray:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return self.lists([len(x.ids) for x in found], [i for x in found for i in x.ids])
 
-    def word(self, w: str) -> bytes:
-        """Ids of a word of letters, with a space before it."""
-        w = " " + w
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(self.letters))]).tobytes()
+    @staticmethod
+    def lists(sizes: list[int], ids: list[int]) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids, pa.int32()))
 
-    def learn(self, words: list[str]) -> None:
-        """Puts words that the cache lacks into it."""
-        cache, older, fresh, marked = self.cache, self.older, [], []
+    def word(self, w: str) -> list[int]:
+        """Ids of a word of letters, with a space before it."""
+        as_letters = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.tokenizer.model.tokenize(self.space + as_letters)]
+
+    def new(self, words: list[str]) -> pa.ListArray:
+        """Ids of words with a space before them."""
+        if not self.direct:
+            return self.raw([" " + w for w in words])
+        other = [" " + w for w in words if not w.isalpha()]
+        rest, sizes, ids = [], [], []
+        for lo in range(0, len(other), 5_000):
+            rest += [x.ids for x in self.tokenizer.encode_batch_fast(other[lo : lo + 5_000], add_special_tokens=False)]
+        behind, word = iter(rest), self.word
         for w in words:
-            if (ids := older.get(w)) is not None:
-                cache[w] = ids
-                continue
-            stem = w.rstrip(MARKS)
-            if stem != w and stem[-1:].isalnum():
-                marked.append((w, stem))
-                if stem in cache:
-                    continue
-                if (ids := older.get(stem)) is not None:
-                    cache[stem] = ids
-                    continue
-            else:
-                stem = w
-            if self.direct and stem.isalpha():
-                cache[stem] = self.word(stem)
-            else:
-                fresh.append(stem)
-        for lo in range(0, len(fresh), 5_000):
-            part = fresh[lo : lo + 5_000]
-            cache.update(zip(part, self.raw([" " + k for k in part])))
-        tails = self.tails
-        new = list({w[len(stem) :] for w, stem in marked} - tails.keys())
-        if len(tails) > 10_000:
-            tails.clear()
-            new = list({w[len(stem) :] for w, stem in marked})
-        tails.update(zip(new, self.raw(new)))
-        for w, stem in marked:
-            cache[w] = cache[stem] + tails[w[len(stem) :]]
-
-    def encode(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+            x = word(w) if w.isalpha() else next(behind)
+            sizes.append(len(x))
+            ids += x
+        return self.lists(sizes, ids)
+
+    def look_up(self, words: pa.Array) -> pa.ListArray:
+        """Ids of distinct words with a space before them, from the cache or new; new ones that are short are kept."""
+        at = pc.index_in(words, value_set=self.words)
+        lacking = words.filter(at.is_null())
+        fresh = self.new(lacking.to_pylist())
+        place = at.to_numpy(zero_copy_only=False)
+        place = np.where(np.isnan(place), len(self.words) + np.cumsum(np.isnan(place)) - 1, place).astype(np.int64) if at.null_count else place
+        found = pa.concat_arrays([self.ids, fresh]).take(pa.array(place))
+        short = pc.less_equal(pc.binary_length(lacking), KEPT_WORD)
+        self.words, self.ids = pa.concat_arrays([self.words, lacking.filter(short)]), pa.concat_arrays([self.ids, fresh.filter(short)])
+        if self.words.nbytes + self.ids.nbytes > CACHED_BYTES:
+            half = pa.array(np.arange(len(self.words) // 2, len(self.words)))
+            self.words, self.ids = self.words.take(half), self.ids.take(half)
+        return found
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[pa.Array, np.ndarray]:
         """All ids of the texts, each followed by end, and where each text's begin, and the last's end."""
-        if len(self.cache) > CACHED_WORDS:
-            self.older, self.cache = self.cache, {}
         n = len(texts)
         texts = pc.fill_null(texts, "")
-        whole = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
-        cut = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
+        whole = pc.match_substring_regex(texts, UNSAFE)
+        cuttable = pc.if_else(whole, "", texts)
+        cut = pc.split_pattern(cuttable, " ")
         at = cut.offsets.to_numpy().astype(np.int64)
         coded = cut.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        missing = [w for w in words if w not in self.cache]
-        self.learn(missing)
+        words = coded.dictionary
+        marked = pc.match_substring_regex(words, MARKED)
+        stems = pc.if_else(marked, pc.utf8_rtrim(words, MARKS), words)
+        tails = pc.if_else(marked, pc.replace_substring_regex(words, STEM, ""), "").dictionary_encode()
+        stem = stems.dictionary_encode()
+        ids = _joined(self.look_up(stem.dictionary).take(stem.indices), self.raw(tails.dictionary.to_pylist()).take(tails.indices))
         # what stands at a text's start has no space before it; a text that isn't cut is one piece
-        firsts = [t.split(" ", 1)[0] for t in pc.if_else(pa.array(whole), "", texts).to_pylist()]
-        for k, t in zip(np.flatnonzero(whole), texts.filter(pa.array(whole)).to_pylist()):
-            firsts[k] = t
-        pieces = [*map(self.cache.__getitem__, words), *self.raw(firsts), end]
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        start = np.cumsum(size) - size
-        index = coded.indices.to_numpy().astype(np.int64)
-        index[at[:-1]] = len(words) + np.arange(n)
-        index = np.insert(index, at[1:], len(pieces) - 1)
-        took = size[index]
-        total = np.concatenate([[0], np.cumsum(took)])
-        at_once = np.repeat((start[index] - total[:-1]).astype(np.int32), took)
-        at_once += np.arange(total[-1], dtype=np.int32)
-        ids = np.frombuffer(b"".join(pieces), "<i4")[at_once]
-        return ids, total[at + np.arange(n + 1)]
+        firsts = pc.if_else(whole, texts, pc.list_element(cut, 0)).to_pylist()
+        pieces = pa.concat_arrays([ids, self.raw(firsts), pa.array([[end]], pa.list_(pa.int32()))])
+        # each text's pieces, the first one its start, with the end behind the last
+        index = np.empty(len(coded) + n, np.int32)
+        last = at[1:] + np.arange(n)
+        inner = np.ones(len(index), bool)
+        inner[last] = False
+        index[inner] = coded.indices.to_numpy()
+        index[at[:-1] + np.arange(n)] = len(words) + np.arange(n)
+        index[last] = len(pieces) - 1
+        found = pieces.take(pa.array(index))
+        return found.flatten(), found.offsets.to_numpy()[np.append(at[:-1] + np.arange(n), len(index))].astype(np.int64)
 
 
 def encoder(spec: str) -> Encoder:
@@ -148,7 +159,6 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, end_id: int = 2, id_c
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    end = np.array([end_id], dtype="<u4").tobytes()
     schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +169,8 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, end_id: int = 2, id_c
             lo = 0
             while lo < batch.num_rows:
                 hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo : lo + DOCUMENTS]), BYTES, "right")))
-                ids, at = enc.encode(texts.slice(lo, hi - lo), end)
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+                ids, at = enc.encode(texts.slice(lo, hi - lo), end_id)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), ids)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.full(hi - lo, part, np.int32)), pa.array(start + at[:-1]), pa.array(np.diff(at)), lists], schema=schema)
                 start += int(at[-1])
                 lo = hi
@@ -169,13 +179,19 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, end_id: int = 2, id_c
     return ordered.mapInArrow(run, "doc_id long, part int, local_start long, n_tokens long, ids array<int>")
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10, page_rows: int = 2_000, **kw: object) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, row_group_bytes: int = 8 << 20, page_bytes: int = 256 << 10, page_rows: int = 2_000, **kw: object) -> None:
     """Writes encode_documents() as Parquet: dictionary ids, delta metadata, bounded row groups, pages with indexes."""
     options = {
         "parquet.writer.version": "v2", "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows,
-        "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true", "parquet.dictionary.page.size": 4 << 20, "compression": "zstd",
+        "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true", "parquet.dictionary.page.size": 1 << 20, "compression": "zstd",
     }
-    encode_documents(docs, tokenizer_file, **kw).write.options(**options).mode("overwrite").parquet(path)
+    conf, rows = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = conf.get(rows)
+    conf.set(rows, str(min(int(was), BATCH_ROWS) if int(was) > 0 else BATCH_ROWS))
+    try:
+        encode_documents(docs, tokenizer_file, **kw).write.options(**options).mode("overwrite").parquet(path)
+    finally:
+        conf.set(rows, was)
 
 
 def read_token_files(spark, path: str) -> DataFrame:
