@@ -1,19 +1,24 @@
 """HTML extraction with site template removal.
 
-Each page becomes a tree of block elements. Every subtree with text is hashed (tags, classes and text); Spark counts
-on how many pages of its host each hash occurs, and subtrees that recur on many pages of the host go. What is left
-loses elements that never hold main text (menus, headers, footers, forms, scripts, notices, adverts, comments), and
-the text of article or main elements, where a page has any, else of the body, is the result.
+Each page becomes a tree of block elements. Every subtree with text is hashed (tags, classes and text), menus, footers
+and adverts as well as the rest; Spark counts how many pages of its host hold each hash, and subtrees that recur on
+`least` pages and on `share` of the host's pages, or on `many` pages whatever their share, go. Sites have several
+layouts, so the share is small. Pages with equal main text count as one page, so that copies of an article don't make
+a template of its parts.
 
 Paragraphs, headings and other prose directly inside an article or main element are never taken for template: a
-passage that many articles of a site quote is part of each of them.
+passage that many articles of a site quote is part of each of them. Neither are those elements and what holds them.
+
+Of hosts with few pages there is nothing to count, so what is left then loses, as a fallback, elements that by name,
+class, id or role never hold main text (menus, headers, footers, forms, notices, adverts, comments); and where a page
+has article or main elements, their text is the result.
 
 The pages' parsed blocks move once, compressed, keyed by page, so a host of any size is no hot key; the counts of
 (host, hash) are summed before they move.
 
 Cases: null html is empty; pages without text give an empty text; a null url is a host of its own; malformed and cut
-markup is read as far as it goes; rows with one page_id are told apart by a hash of their url and html; an empty
-table gives no rows; other columns are ignored.
+markup is read as far as it goes, and a tag with an unclosed quote ends at its first >; rows with one page_id are told
+apart by a hash of their url and html; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,15 +28,16 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Element names by what they mean here.
-RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "noembed", "noframes", "xmp")
+RAW = ("title", "script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "noembed", "noframes", "xmp")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head title nav footer aside form button select option menu dialog fieldset label legend datalist output progress meter canvas audio video map applet marquee figcaption".split()) - {"figcaption"} | frozenset(RAW)
+NEVER = frozenset("head nav footer aside form button select option menu dialog fieldset label legend datalist output progress meter canvas audio video map applet marquee figcaption".split()) - {"figcaption"} | frozenset(RAW)
 BLOCK = frozenset("html body main article section header hgroup div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address details summary center hr search".split()) | NEVER
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt ul ol dl td th tr table caption tbody thead tfoot figure figcaption".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
@@ -45,11 +51,11 @@ MARKED = re.compile(
 HEADERS = re.compile(r"^(?:header|siteheader|pageheader|topheader)$")
 #: Fixed value: words that turn a mark around, as in has-sidebar.
 NOT_MARKED = frozenset("with has no without".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"(?=[\s/>]|$)|'[^']*'(?=[\s/>]|$))*)(?:>|$)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|$)", re.S)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-label)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 SPACE = re.compile(r"\s+")
-#: A subtree is template if it is on this share of its host's pages, and on this many pages, at least.
-SHARE, PAGES = 0.3, 3
+#: A subtree is template if it is on LEAST pages and on SHARE of its host's pages at least, or on MANY.
+LEAST, SHARE, MANY = 3, 0.005, 30
 
 
 class Node:
@@ -73,10 +79,11 @@ def parse(text: str) -> Node:
         if m.start() > at:
             stack[-1].kids.append(text[at : m.start()])
         at = m.end()
-        name = (m[2] or "").lower()
+        shut_tag, name, given = (m[4], m[5], m[6]) if m[5] else (m[1], m[2], m[3])
+        name = (name or "").lower()
         if not name:
             continue
-        if m[1]:
+        if shut_tag:
             if name in BLOCK:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].name == name:
@@ -96,8 +103,6 @@ def parse(text: str) -> Node:
         if name not in BLOCK or name in VOID:
             if name == "hr":
                 stack[-1].kids.append(Node("hr"))
-            elif name in ("span", "a") and m[3].rstrip().endswith("/"):
-                pass
             continue
         if name in ENDS_P:
             for k in range(len(stack) - 1, 0, -1):
@@ -114,8 +119,8 @@ def parse(text: str) -> Node:
                 if stack[k].name in shut:
                     del stack[k:]
         marks, hidden = [], False
-        if m[3] and m[3].strip():
-            for a in ATTR.finditer(m[3]):
+        if given and given.strip():
+            for a in ATTR.finditer(given):
                 value = a[2] or a[3] or a[4] or ""
                 if a[1].lower() in ("class", "id", "role"):
                     marks += value.lower().split()
@@ -123,7 +128,7 @@ def parse(text: str) -> Node:
                     hidden = True
         node = Node(name, tuple(marks), hidden)
         stack[-1].kids.append(node)
-        if not (m[3] or "").endswith("/") or name not in ("hr",):
+        if name != "hr":
             stack.append(node)
     return root
 
@@ -152,41 +157,48 @@ def boilerplate(node: Node, inside: bool) -> bool:
     return False
 
 
-def blocks(root: Node) -> list[tuple[str, list[int], bool]]:
-    """(text, hashes of the template units around it, whether it is in an article or main element), in page order.
+@dataclass
+class Block:
+    """A maximal run of text without a block border: hashes of the subtrees that hold it and may be template, whether an
+    element around it never holds main text by its name or class, and whether it lies in an article or main element."""
+
+    text: str
+    units: list[int]
+    named: bool
+    inner: bool
 
-    A text is one maximal run without a block border. Boilerplate is left out. The units of a text are the subtrees
-    that hold it, but for prose inside an article or main element, and that element and what holds it.
-    """
-    out: list[tuple[str, list[Node], bool]] = []
+
+def blocks(root: Node) -> list[Block]:
+    """The blocks of a page in order."""
+    out: list[tuple[str, list[Node], bool, bool]] = []
     digest: dict[int, int] = {}
 
-    def walk(node: Node, above: list[Node], inside: bool) -> tuple[int, bool]:
+    def walk(node: Node, above: list[Node], named: bool, inside: bool) -> tuple[int, bool]:
         """The subtree's hash and whether it holds an article or main element."""
-        if boilerplate(node, inside):
-            return 0, False
-        inner = inside or node.name in ("article", "main")
-        unit = [*above, node] if node.name not in ("#root", "html", "body", "article", "main") and not (inner and node.name in PROSE) else above
-        parts, run, holds = [node.name, " ".join(node.marks)], [], node.name in ("article", "main")
+        named = named or boilerplate(node, inside)
+        inner = inside or not named and node.name in ("article", "main")
+        unit = above if node.name in ("#root", "html", "body") or not named and (node.name in ("article", "main") or inner and node.name in PROSE) else [*above, node]
+        parts, run, holds = [node.name, " ".join(node.marks)], [], not named and node.name in ("article", "main")
 
         def flush() -> None:
             t = SPACE.sub(" ", entities.unescape("".join(run))).strip()
             run.clear()
             if t:
                 parts.append(t)
-                out.append((t, unit, inner))
+                out.append((t, unit, named, inner))
 
         for kid in node.kids:
             if isinstance(kid, str):
                 run.append(kid)
             else:
                 flush()
-                h, more = walk(kid, unit, inner)
+                h, more = walk(kid, unit, named, inner)
                 holds |= more
                 if h:
                     parts.append(str(h))
         flush()
-        h = zlib.crc32("\x1f".join(parts).encode("utf-8", "replace")) << 32 | zlib.adler32("\x1e".join(parts).encode("utf-8", "replace"))
+        raw = "\x1f".join(parts).encode("utf-8", "replace")
+        h = zlib.crc32(raw) << 32 | zlib.adler32(raw)
         digest[id(node)] = 0 if holds else h - (1 << 63)
         return h or 1, holds
 
@@ -195,10 +207,10 @@ def blocks(root: Node) -> list[tuple[str, list[int], bool]]:
     was = sys.getrecursionlimit()
     sys.setrecursionlimit(max(was, 20_000))
     try:
-        walk(root, [], False)
+        walk(root, [], False, False)
     finally:
         sys.setrecursionlimit(was)
-    return [(t, [d for u in unit if (d := digest[id(u)])], inner) for t, unit, inner in out]
+    return [Block(t, [d for u in unit if (d := digest[id(u)])], named, inner) for t, unit, named, inner in out]
 
 
 def flat(root: Node, deepest: int = 2_000) -> Node:
@@ -222,16 +234,29 @@ def flat(root: Node, deepest: int = 2_000) -> Node:
     return root
 
 
-def join(page: list[tuple[str, list[int], bool]], template: set[int]) -> str:
-    """The text of a page without the template units."""
-    left = [(t, inner) for t, units, inner in page if not template.intersection(units)]
-    if any(inner for _, inner in left):
-        left = [x for x in left if x[1]]
-    return "\n".join(t for t, _ in left)
+def join(page: list[Block], template: set[int], lists: bool = True) -> tuple[str, int]:
+    """The text of a page without the template units, and how many code points of it were in them. lists: whether the
+    fallback by names and classes and the preference for article or main elements apply."""
+    left = [b for b in page if not template.intersection(b.units)]
+    gone = sum(len(b.text) for b in page) - sum(len(b.text) for b in left)
+    if lists:
+        left = [b for b in left if not b.named]
+        if any(b.inner for b in left):
+            left = [b for b in left if b.inner]
+    return "\n".join(b.text for b in left), gone
+
+
+def main_key(page: list[Block]) -> int:
+    """A hash of the page's main text, as far as the page itself tells."""
+    return zlib.crc32(join(page, set())[0].encode("utf-8", "replace"))
+
+
+def host(url: str | None) -> str:
+    return (re.match(r"^[^/?#]*//(?:[^/?#@]*@)?([^/?#:]*)", url or "") or ["", ""])[1].lower()
 
 
-def extract(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataFrame:
-    """Per row: page_id, url, text, n_chars."""
+def extract(pages: DataFrame, share: float = SHARE, least: int = LEAST, many: int = MANY, lists: bool = True) -> DataFrame:
+    """Per row: page_id, url, text, n_chars, n_template (code points in subtrees that the counts tell are template)."""
     from quern.llm.common import Scratch
 
     s = Scratch(pages.sparkSession, "html-text")
@@ -241,28 +266,34 @@ def extract(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataF
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 b = batch.slice(lo, 200)
-                urls, keys, hashes, data = b.column("url").to_pylist(), [], [], []
+                urls, keys, mains, hashes, data = b.column("url").to_pylist(), [], [], [], []
                 for url, text in zip(urls, b.column("html").to_pylist()):
                     page = blocks(flat(parse(text or "")))
-                    raw = json.dumps(page, ensure_ascii=False).encode("utf-8", "replace")
+                    place: dict[int, int] = {}  # units by their place in the page's list of them, which is shorter
+                    # of text that the fallback takes anyway only the length matters
+                    near = [("x" * len(x.text) if lists and x.named else x.text, [place.setdefault(u, len(place)) for u in x.units], int(x.named), int(x.inner)) for x in page]
+                    raw = json.dumps(near, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "replace")
                     data.append(zlib.compress(raw, 6))
-                    keys.append(zlib.crc32(raw) << 32 | zlib.adler32((url or "").encode("utf-8", "replace")))
-                    hashes.append(list({u for _, units, _ in page for u in units}))
-                hosts = [(re.match(r"^[^/?#]*//(?:[^/?#@]*@)?([^/?#:]*)", u or "") or ["", ""])[1].lower() for u in urls]
-                yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(hosts, pa.string()), pa.array([k - (1 << 63) for k in keys], pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(data, pa.binary())], names=["page_id", "url", "host", "row", "hashes", "data"])
-
-    parsed = s.write(rows.mapInArrow(run, "page_id long, url string, host string, row long, hashes array<long>, data binary"), "parsed")
-    counts = parsed.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
-    sites = parsed.groupBy(F.col("host").alias("site")).agg(F.count("*").alias("pages"))
-    template = counts.where(F.col("n") >= least).join(sites, F.col("host") == F.col("site")).where(F.col("n") >= share * F.col("pages")).select(F.col("host").alias("of"), F.col("hash").alias("known"))
-    units = parsed.select("page_id", "row", "host", F.explode("hashes").alias("hash"))
-    gone = units.join(template, (F.col("host") == F.col("of")) & (F.col("hash") == F.col("known"))).groupBy("page_id", "row").agg(F.collect_set("hash").alias("gone"))
-    gone = s.write(gone.select(F.col("page_id").alias("id"), F.col("row").alias("key"), "gone"), "template")
-    both = parsed.drop("hashes", "host").join(gone, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("key")), "left")
+                    keys.append((zlib.crc32((text or "").encode("utf-8", "replace")) << 32 | zlib.adler32((url or "").encode("utf-8", "replace"))) - (1 << 63))
+                    mains.append(main_key(page))
+                    hashes.append(list(place))
+                arrays = [b.column("page_id"), b.column("url"), pa.array(map(host, urls), pa.string()), pa.array(keys, pa.int64()), pa.array(mains, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "host", "row", "main", "hashes", "data"])
+
+    parsed = s.write(rows.mapInArrow(run, "page_id long, url string, host string, row long, main long, hashes array<long>, data binary"), "parsed")
+    counts = parsed.select("host", "main", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.countDistinct("main").alias("n")).where(F.col("n") >= least)
+    sites = parsed.groupBy(F.col("host").alias("site")).agg(F.countDistinct("main").alias("pages"))
+    enough = F.least(F.lit(many), F.greatest(F.lit(least), F.ceil(share * F.col("pages"))))
+    template = counts.join(sites, F.col("host") == F.col("site")).where(F.col("n") >= enough).select(F.col("host").alias("of"), F.col("hash").alias("known"))
+    # dealt by host and hash, whatever the number of templates; a hot pair can be split
+    units = parsed.select("page_id", "row", "host", F.posexplode("hashes").alias("place", "hash"))
+    gone = units.join(s.write(template, "template").hint("merge"), (F.col("host") == F.col("of")) & (F.col("hash") == F.col("known"))).groupBy("page_id", "row").agg(F.collect_set("place").alias("gone"))
+    gone = s.write(gone.select(F.col("page_id").alias("id"), F.col("row").alias("key"), "gone"), "gone")
+    both = parsed.drop("hashes", "host", "main").join(gone.hint("merge"), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("key")), "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [join(json.loads(zlib.decompress(d)), set(g or ())) for d, g in zip(b.column("data").to_pylist(), b.column("gone").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            found = [join([Block(*x) for x in json.loads(zlib.decompress(d))], set(g or ()), lists) for d, g in zip(b.column("data").to_pylist(), b.column("gone").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array([t for t, _ in found], pa.string()), pa.array([len(t) for t, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_template"])
 
-    return both.select("page_id", "url", "data", "gone").mapInArrow(finish, "page_id long, url string, text string, n_chars long")
+    return both.select("page_id", "url", "data", "gone").mapInArrow(finish, "page_id long, url string, text string, n_chars long, n_template long")
