@@ -4,47 +4,55 @@
    and only the class's smallest document id goes on.
 2. Documents are posted under each (coordinate, value) pair. With `matches` of the coordinates needed, two documents
    must share a pair among the rarest coordinates - matches + 1 of both, so only these prefixes are kept; pairs that
-   one document alone has count as the rarest, and a document with fewer than `matches` shared pairs drops out.
+   one document alone has count as the rarest, and a document with fewer than `matches` shared pairs drops out. Of
+   posting lists with the same members one is kept.
 3. In each posting list, a leader is compared with every other member: rows grow with the lists, not their squares.
    Collisions are counted on the signatures; candidates with `matches` or more are confirmed on the full sets.
    Confirmed links are joined to components. A second round takes leaders by chance, in lists that still hold several components.
 4. What then still lies in one list but in different components is compared exhaustively: members outside the
    list's largest component against all, in blocks of bounded size, by counting shared shingles through the block's
-   inverted lists. So long lists are skipped, not dropped, and no link between components is lost. Lists that hang
+   sorted shingles. So long lists are skipped, not dropped, and no link between components is lost. Lists that hang
    together by their members are compared as one where fewer sets move so.
 
+Tables with a row a list, heap or node are written before they meet the rows of those keys: a broadcast carries them
+if they are few by count, else both sides of the join have an exchange, so that a hot list or heap can be split.
+
 A document is missed only if a linked pair shares fewer than `matches` of `coordinates` values: at 80 % similarity,
 60 of 96 fall short with a probability of about 2 in 100,000, and a component then still holds by its other links.
 
 Cases: null and empty texts, and texts without words, have an empty set and no links; a text with fewer words than a
-shingle is one shingle; ids are compared as numbers, rows with one id count each by their text; rows without an id
-aren't linked, have no component and are kept; an empty table gives no rows; other columns are ignored.
+shingle is one shingle; ids are compared as numbers, rows with one id count each by their text, which keep_first()
+tells apart by a hash, and of rows with equal id and text it keeps one; rows without an id aren't linked, have no
+component and are kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACE_CHARS, Scratch
+from quern.llm.common import SPACE_CHARS, Scratch, fresh
 
 
 @dataclass(frozen=True)
 class Settings:
-    """percent: Jaccard similarity from which documents are linked. block: shingles in a block of an exhaustive comparison."""
+    """percent: Jaccard similarity from which documents are linked. outsiders, members: shingles in a block of
+    either side of an exhaustive comparison; the members' are sorted. few_ids, few_rows: so many ids, or rows of several numbers, are broadcast at most."""
 
     shingle: int = 5
     percent: int = 80
     coordinates: int = 96
     matches: int = 60
-    block: int = 1_000_000
+    outsiders: int = 4_000_000
+    members: int = 500_000
     few_ids: int = 1_000_000
+    few_rows: int = 200_000
     seed: int = 5
 
 
@@ -102,8 +110,13 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(rows) if rows else np.zeros(0), kind))
 
 
+def text_key(col: str) -> Column:
+    """A hash that tells the texts of rows with one id apart."""
+    return F.xxhash64(F.col(col).cast("string"))
+
+
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, n_shingles, set_key, signature); the last two are null for an empty set."""
+    """(doc_id, text_key, n_shingles, set_key, signature); the last two are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shingler(s)
@@ -111,14 +124,14 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
             for lo in range(0, batch.num_rows, 1000):
                 b = batch.slice(lo, 1000)
                 sizes, keys, sigs = [], [], []
-                for t in b.column(1).to_pylist():
+                for t in b.column(2).to_pylist():
                     x = f.set((t or "").encode())
                     sizes.append(len(x))
                     keys.append(f.wide(x.tobytes()) if len(x) else None)
                     sigs.append(f.signature(x) if len(x) else np.zeros(0, np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(sigs, pa.int32())], names=["doc_id", "n_shingles", "set_key", "signature"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(sigs, pa.int32())], names=["doc_id", "text_key", "n_shingles", "set_key", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature array<int>")
+    return docs.select("doc_id", text_key("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key binary, signature array<int>")
 
 
 def shingle_sets(docs: DataFrame, s: Settings) -> DataFrame:
@@ -135,23 +148,27 @@ def shingle_sets(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "node long, signature array<int>, shingles array<long>")
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str, few: int) -> DataFrame:
     """(node, component) of every node of edges (a, b): the smallest node reachable.
 
-    Alternating large and small stars: each round sends nodes to their smallest neighbour, by grouping and joining only.
+    Alternating large and small stars: each round sends nodes to their smallest neighbour, by grouping and joining only,
+    until nothing changes. Of more than `few` edges, the smallest neighbours are written before they meet the edges.
     """
-    e, seen = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), None
-    for k in range(100):
+    e = scratch.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-edges")
+    seen, n, before = None, e.count(), f"{name}-edges"
+    for k in itertools.count():
+        held = (lambda df, x: scratch.write(df, f"{name}-{x}-{k}")) if n > few else lambda df, x: df  # noqa: B023
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = held(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = scratch.write(large.where("a <> b").distinct(), f"{name}-large-{k}")
-        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        least = held(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "least-large")
         small = large.join(least, F.col("a") == F.col("u"))
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         e = scratch.write(small.where("a <> b").distinct(), f"{name}-{k}")
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        scratch.drop(f"{name}-large-{k}", *[f"{name}-{k - 1}"] * (k > 0))
+        scratch.drop(f"{name}-large-{k}", f"{name}-least-{k}", f"{name}-least-large-{k}", before)
+        before, n = f"{name}-{k}", now[0]
         if now == seen:
             break
         seen = now
@@ -187,31 +204,45 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings, w: Scratch, name:
 def _cross_links(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
     """Links between rows of left and right, (node, component, shingles), of different components; one for each left row and component of right."""
     left, right = (t.rename_columns([c.rsplit("_", 1)[0] for c in t.column_names]) for t in (left, right))
-    where: dict[int, list[int]] = defaultdict(list)
-    sets = right.column("shingles").to_pylist()
-    for k, x in enumerate(sets):
-        for h in x:
-            where[h].append(k)
-    lists = {h: np.array(v, np.int32) for h, v in where.items()}
-    size = np.array([len(x) for x in sets], np.int64)
+    shingles, size = _flat(right.column("shingles"))
+    order = np.argsort(shingles, kind="stable")
+    keys, owner = shingles[order], np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
     comp, node = right.column("component").to_numpy(), right.column("node").to_numpy()
-    a, b = [], []
-    for u, c, x in zip(left.column("node").to_pylist(), left.column("component").to_pylist(), left.column("shingles").to_pylist()):
-        hits = [lists[h] for h in x if h in lists]
-        if not hits:
-            continue
-        shared = np.bincount(np.concatenate(hits), minlength=len(sets))
-        found = np.flatnonzero(_linked(shared, len(x), size, percent) & (comp != c) & (shared > 0))
+    mine, sizes = _flat(left.column("shingles"))
+    a, b, end = [], [], 0
+    for u, c, n in zip(left.column("node").to_pylist(), left.column("component").to_pylist(), sizes.tolist()):
+        x, end = mine[end : end + n], end + n
+        first = np.searchsorted(keys, x, "left")
+        times = np.searchsorted(keys, x, "right") - first
+        # each shingle of right is hit once at most
+        hits = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        shared = np.bincount(owner[hits], minlength=len(size))
+        found = np.flatnonzero(_linked(shared, n, size, percent) & (comp != c) & (shared > 0))
         for k in {comp[k]: k for k in found}.values():
             a.append(u)
             b.append(int(node[k]))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All elements of a column of lists, and each list's length."""
+    whole = lists.combine_chunks()
+    return whole.flatten().to_numpy(zero_copy_only=False), np.asarray(whole.value_lengths(), np.int64)
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable over links), kept (doc_id = component_id)."""
-    spark = docs.sparkSession
-    w = Scratch(spark, "near-dedup")
+    return _rows(docs, id_col, text_col, s, Scratch(docs.sparkSession, "near-dedup")).drop("text_key")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, s: Settings, w: Scratch) -> DataFrame:
+    """link() with text_key."""
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        """A table, broadcast where it has few rows."""
+        df = w.write(df, name)
+        return F.broadcast(df) if df.count() <= s.few_rows else df
+
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = w.write(signatures(base, s), "signed")
     classes = w.write(signed.where("set_key is not null and doc_id is not null").groupBy(F.col("set_key").alias("key")).agg(F.min("doc_id").alias("node")), "classes")
@@ -222,13 +253,15 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Set
 
     # postings under (coordinate, value); those that one node alone has are told by their absence
     posted = nodes.select("node", F.posexplode("signature").alias("i", "v")).select("node", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("v")).alias("pair"))
-    lists = posted.groupBy(F.col("pair").alias("of")).agg(F.count("*").alias("n")).where("n > 1")
+    lists = w.write(posted.groupBy(F.col("pair").alias("of")).agg(F.count("*").alias("n")).where("n > 1"), "posted")
     shared = posted.join(lists, F.col("pair") == F.col("of"))
     ranked = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("by")).where(F.size("by") >= s.matches)
     prefix = ranked.select("node", F.explode(F.slice("by", F.lit(1), F.size("by") - (s.matches - 1))).alias("p")).select("node", F.col("p.pair").alias("pair"))
     prefix = w.write(prefix, "prefix-all")
-    again = prefix.groupBy(F.col("pair").alias("of")).agg(F.count("*").alias("n")).where("n > 1").select("of")
-    prefix = w.write(prefix.join(again, F.col("pair") == F.col("of")).select("node", "pair"), "prefix")
+    # of lists with the same members one is enough
+    members = prefix.groupBy("pair").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("all"))
+    once = w.write(members.where("all > 1").groupBy("x", "y", "all").agg(F.min("pair").alias("only")).select("only", "all"), "once")
+    prefix = w.write(prefix.join(once, F.col("pair") == F.col("only")).select("node", "pair", "all"), "prefix")
 
     # signatures and full sets of the nodes that still have a list in common with another
     left = w.write(prefix.select("node").distinct(), "left")
@@ -237,7 +270,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Set
     sets = w.write(shingle_sets(mine.where(F.trim(F.translate("text", SPACE_CHARS, " ")) != ""), s), "sets")
     if sets.count() > left.count():  # repeated rows, or rows with one id and different texts: all are tried, equal ones once
         sets = w.write(sets.dropDuplicates(["node", "shingles"]), "sets-once")
-    w.drop("nodes", "prefix-all")
+    w.drop("nodes", "posted", "prefix-all", "once")
 
     comp = None
     links = None
@@ -246,6 +279,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Set
         at = at.withColumn("component", F.col("node") if comp is None else F.coalesce("component", "node"))
         order = F.col("node") if k == 0 else F.xxhash64("node", "pair", F.lit(s.seed))
         leaders = at.groupBy(F.col("pair").alias("of")).agg(F.min_by(F.struct("node", "component"), F.struct(order, F.col("node"))).alias("lead"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("of", "lead")
+        leaders = held(leaders, f"leaders-{k}")
         pairs = at.join(leaders, F.col("pair") == F.col("of")).where(F.col("component") != F.col("lead.component"))
         pairs = pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).groupBy("a", "b").agg(F.count("*").alias("collisions")).select("a", "b")
         if k:
@@ -253,34 +287,33 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Set
         pairs = tried = w.write(pairs, f"pairs-{k}")
         found = w.write(_confirmed(pairs, sets, s, w, str(k)), f"links-{k}")
         links = found if links is None else links.unionByName(found)
-        comp = w.write(components(links, w, f"stars-{k}"), f"components-{k}")
+        comp = w.write(components(links, w, f"stars-{k}", s.few_rows), f"components-{k}")
 
     # lists that still hold several components: members outside the largest one against all, in blocks
     sizes = sets.groupBy("node").agg(F.max(F.size("shingles")).cast("long").alias("size"))
-    at = prefix.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sizes, "node")
-    members = at.groupBy("pair").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("all"))
-    # the first round has compared both members of a list of two; of lists with the same members one is enough
-    once = members.where("all > 2").groupBy("x", "y", "all").agg(F.min("pair").alias("only")).select("only")
-    at = w.write(at.join(once, F.col("pair") == F.col("only"), "left_semi"), "lists")
+    # the first round has compared both members of a list of two
+    at = prefix.where("all > 2").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sizes, "node")
+    at = w.write(at.select("pair", "node", "component", "size"), "lists")
     mixed = at.groupBy("pair").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("node").alias("lead")).where("c0 <> c1")
-    at = w.write(at.join(mixed.select(F.col("pair").alias("of"), "lead"), F.col("pair") == F.col("of")).select("pair", "node", "component", "size", "lead"), "mixed")
+    mixed = held(mixed.select(F.col("pair").alias("of"), "lead"), "leads")
+    at = w.write(at.join(mixed, F.col("pair") == F.col("of")).select("pair", "node", "component", "size", "lead"), "mixed")
     # lists that share members overlap in most of them: those that hang together may be compared as one list
-    heap = components(at.select(F.col("node").alias("a"), F.col("lead").alias("b")), w, "heaps").select(F.col("node").alias("in"), F.col("component").alias("heap"))
-    at = at.join(heap, F.col("node") == F.col("in"))
+    heap = components(at.select(F.col("node").alias("a"), F.col("lead").alias("b")), w, "heaps", s.few_rows).select(F.col("node").alias("in"), F.col("component").alias("heap"))
+    at = w.write(at.join(heap, F.col("node") == F.col("in")).select("pair", "node", "component", "size", "heap"), "in-heaps")
     # as one, each member moves once for each block of outsiders, and each outsider once a block; else once a list
-    parts = at.select("heap", "node", "component", "size").distinct().groupBy("heap", "component").agg(F.sum("size").alias("words"))
-    whole = parts.groupBy(F.col("heap").alias("one")).agg(F.sum("words").alias("words"), (F.sum("words") - F.max("words")).alias("out"))
-    moved = at.groupBy("heap").agg(F.sum("size").alias("apart"))
-    times = lambda x: F.ceil(x / s.block)
-    together = F.col("words") * times(F.col("out")) + F.col("out") * times(F.col("words"))
-    small = whole.join(moved, F.col("one") == F.col("heap")).where(together <= F.col("apart") + F.col("words")).select("one")
+    parts = at.groupBy("heap", "node", "component").agg(F.max("size").alias("size"), F.sum("size").alias("apart")).groupBy("heap", "component").agg(F.sum("size").alias("words"), F.sum("apart").alias("apart"))
+    whole = parts.groupBy(F.col("heap").alias("one")).agg(F.sum("words").alias("words"), (F.sum("words") - F.max("words")).alias("out"), F.sum("apart").alias("apart"))
+    together = F.col("words") * F.ceil(F.col("out") / s.outsiders) + F.col("out") * F.ceil(F.col("words") / s.members)
+    small = held(whole.where(together <= F.col("apart") + F.col("words")).select("one"), "small-heaps")
     at = at.join(small, F.col("heap") == F.col("one"), "left")
     # should a heap's number equal a list's, both are compared with each other in vain, but nothing is lost
-    at = w.write(at.select(F.when(F.col("one").isNotNull(), F.xxhash64(F.lit("heap"), "heap")).otherwise(F.col("pair")).alias("pair"), "node", "component", "size").distinct(), "heaped")
+    at = w.write(at.select(F.when(F.col("one").isNotNull(), F.xxhash64(F.lit("heap"), "heap")).otherwise(F.col("pair")).alias("pair"), "node", "component", "size"), "dealt")
+    at = w.write(at.distinct(), "heaped")
     by = at.groupBy("pair", "component").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     open_lists = by.groupBy(F.col("pair").alias("of")).agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("words").alias("words"), F.max(F.struct("n", "component", "words"))["words"].alias("held"))
-    blocks = lambda words: F.ceil(words / s.block).cast("int")
-    at = w.write(at.join(open_lists, F.col("pair") == F.col("of")).select("pair", "node", "component", (F.col("component") != F.col("largest")).alias("outside"), blocks(F.col("words")).alias("cols"), blocks(F.col("words") - F.col("held")).alias("rows")), "open")
+    open_lists = held(open_lists, "open-lists")
+    blocks = lambda words, most: F.ceil(words / most).cast("int")
+    at = w.write(at.join(open_lists, F.col("pair") == F.col("of")).select("pair", "node", "component", (F.col("component") != F.col("largest")).alias("outside"), blocks(F.col("words"), s.members).alias("cols"), blocks(F.col("words") - F.col("held"), s.outsiders).alias("rows")), "open")
     within = lambda n: F.pmod(F.xxhash64("node"), n.cast("long")).cast("int")
     col = at.select("pair", "node", "component", within(F.col("cols")).alias("col"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"))
     row = at.where("outside").select("pair", "node", "component", within(F.col("rows")).alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"))
@@ -290,14 +323,24 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Set
     percent = s.percent
     last = side(row, "_1").cogroup(side(col, "_2")).applyInArrow(lambda x, y: _cross_links(x, y, percent), "a long, b long")
     links = links.unionByName(w.write(last.distinct(), "links-last"))
-    comp = w.write(components(links, w, "stars-last"), "components-last")
+    comp = w.write(components(links, w, "stars-last", s.few_rows), "components-last")
 
     out = sized.join(classes, F.col("set_key") == F.col("key"), "left").join(comp.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
-    """docs without the documents that a smaller id represents; columns as they were. Ids are taken as unique."""
-    gone = link(docs, id_col, text_col, s).where(~F.col("kept")).select(F.col("doc_id").alias("near_dedup_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("near_dedup_gone"), "left_anti").select(*docs.columns)
+    """docs without the rows that a smaller id represents, and with one of those that have equal id and text; columns as they were."""
+    w = Scratch(docs.sparkSession, "keep-first")
+    found = _rows(docs, id_col, text_col, s, Scratch(docs.sparkSession, "near-dedup")).where("doc_id is not null")
+    names = ["near_dedup_id", "near_dedup_key"]
+    marks = w.write(found.groupBy("doc_id", "text_key").agg(F.every("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1").toDF(*names, "kept", "n"), "marks")
+    same = (F.col(id_col).cast("long") == F.col(names[0])) & (text_key(text_col) == F.col(names[1]))
+    rest = docs.join(marks.where("not kept"), same, "left_anti")
+    twice = marks.where("kept").select(*names)
+    if twice.isEmpty():
+        return rest.select(*docs.columns)
+    key = fresh(docs, "near_dedup_text")
+    one = rest.join(twice, same, "left_semi").withColumn(key, text_key(text_col)).dropDuplicates([id_col, key])
+    return rest.join(twice, same, "left_anti").unionByName(one.drop(key)).select(*docs.columns)

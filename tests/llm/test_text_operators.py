@@ -270,14 +270,21 @@ def test_near_dedup_hot_group_at_the_threshold(spark):
         texts.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     want = components(list(enumerate(texts)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.link(df, s=near_dedup.Settings(shingle=2, block=5_000)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.link(df, s=near_dedup.Settings(shingle=2, outsiders=5_000, members=3_000)).collect()}
     assert got == want and len({c for _, c in want.values()}) > 3
+    # without broadcasts, and with the neighbours of each round written
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.link(df, s=near_dedup.Settings(shingle=2, outsiders=900, members=900, few_ids=0, few_rows=0)).collect()} == want
 
 
 def test_near_dedup_keeps_first(spark):
     df = spark.createDataFrame([(3, "a b c d e f", 1), (1, "A b c d e f", 2), (2, "other words stand here now", 3), (4, None, 4), (5, "", 5)], "doc_id long, text string, node int")
     out = near_dedup.keep_first(df)
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 2, 4, 5]
+    # rows with one id: another text of it stays, of equal rows one stays
+    again = df.unionByName(spark.createDataFrame([(3, "not like the rest of them", 6), (2, "other words stand here now", 3), (2, "second text of this id", 7), (None, "a b c d e f", 8), (None, "a b c d e f", 8)], df.schema))
+    left = collected(near_dedup.keep_first(again), "doc_id", "text")
+    assert left == sorted([(1, "A b c d e f"), (2, "other words stand here now"), (2, "second text of this id"), (3, "not like the rest of them"), (4, None), (5, ""), (None, "a b c d e f"), (None, "a b c d e f")], key=repr)
+    assert near_dedup.keep_first(df.limit(0)).count() == 0
 
 
 def test_components(spark):
@@ -293,8 +300,9 @@ def test_components(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         par[max(x, y)] = min(x, y)
-    got = near_dedup.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), "c").collect()
-    assert {r.node: r.component for r in got} == {x: find(x) for x in par} and len(got) == len(par)
+    for few in (0, 1_000):
+        got = near_dedup.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), "c", few).collect()
+        assert {r.node: r.component for r in got} == {x: find(x) for x in par} and len(got) == len(par)
 
 
 # ---- substring dedup -----------------------------------------------------------------------------------------------
