@@ -5,12 +5,17 @@ highest sum of piece scores; of equal ones, at each position the earlier start (
 no piece of its own covers is one unknown unit, scored 10 below the worst piece and written as byte pieces. A marker
 that the text itself holds goes the same way, so decoding gives every text back.
 
+Models that were made by merging hold ranks instead of log scores (whole numbers, none twice). Their ranks become log
+probabilities of a Zipf-Mandelbrot law, so a piece costs something beyond its rank and few frequent pieces win over
+many; pieces, ids and their order stay.
+
 Cases: null and empty texts have no ids; decoding no ids gives an empty text; an empty table gives no rows; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -104,6 +109,19 @@ def vocabulary(pieces: list[tuple[str, float]], byte_ids: list[int], special: se
     return Vocabulary(surface, scores, byte_ids, base, check, ident, least - UNKNOWN, pairs)
 
 
+def log_probabilities(scores: list[float], usable: list[int], shift: float = 2.7) -> list[float]:
+    """scores, with the usable ones, if they are ranks, as normalised logarithms of 1 / (rank + shift)."""
+    ranks = [-scores[k] for k in usable if scores[k] > NEVER]
+    if len(set(ranks)) < len(ranks) or not all(r == int(r) >= 0 for r in ranks):
+        return scores
+    whole = math.log(sum(1 / (r + shift) for r in ranks) or 1.0)
+    out = list(scores)
+    for k in usable:
+        if scores[k] > NEVER:
+            out[k] = -math.log(shift - scores[k]) - whole
+    return out
+
+
 def load(model_file: str) -> Vocabulary:
     """Pieces and scores of a SentencePiece model file; only these are used, not the library's own segmentation."""
     from sentencepiece import SentencePieceProcessor
@@ -113,7 +131,8 @@ def load(model_file: str) -> Vocabulary:
     pieces = [(sp.id_to_piece(k), sp.get_score(k)) for k in range(n)]
     by_byte = {int(p[3:5], 16): k for k, (p, _) in enumerate(pieces) if sp.is_byte(k)}
     special = {k for k in range(n) if sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k)}
-    return vocabulary(pieces, [by_byte[v] for v in range(256)], special)
+    scores = log_probabilities([x for _, x in pieces], [k for k in range(n) if k not in special])
+    return vocabulary([(p, x) for (p, _), x in zip(pieces, scores)], [by_byte[v] for v in range(256)], special)
 
 
 class Codec:

@@ -544,6 +544,25 @@ def test_sentencepiece(spark, docs, empty, vocabulary):
     assert sentencepiece.encode(empty, vocabulary).count() == 0
 
 
+def test_sentencepiece_scores(vocabulary, small):
+    """Ranks become log probabilities: pieces as the model itself finds them, and about as many."""
+    import pyarrow.parquet as pq
+    from sentencepiece import SentencePieceProcessor
+
+    from quern.llm import sentencepiece
+
+    own, c = SentencePieceProcessor(model_file=vocabulary_file(PIECES)), sentencepiece.Codec(vocabulary)
+    for t in ("The quick brown fox jumps over the lazy dog.", "Internationalization of the government"):
+        assert np.frombuffer(c.encode(t), "<i4").tolist() == own.encode(t), t
+    texts = [t for t in pq.read_table(f"{small}/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    ours, theirs = sum(len(c.encode(t)) // 4 for t in texts), sum(len(own.encode(t)) for t in texts)
+    assert abs(ours / theirs - 1) < 0.04
+    usable = [s for k, s in enumerate(vocabulary.scores) if vocabulary.surface[k] and k not in vocabulary.byte_ids and s > sentencepiece.NEVER]
+    assert abs(sum(map(math.exp, usable)) - 1) < 1e-6
+    logs = [-1.5, -2.0, -2.0, -3.0]
+    assert sentencepiece.log_probabilities(logs, [0, 1, 2, 3]) == logs and sentencepiece.log_probabilities([0.0, -1.0, -2.0], [0, 1, 2]) != [0.0, -1.0, -2.0]
+
+
 def test_double_array():
     from quern.llm.sentencepiece import double_array
 
