@@ -1,8 +1,9 @@
 """Quality classifier: supervised subword embeddings.
 
-Each word, each pair of neighbouring words and each character n-gram of a word hashes to a learned vector; a
-document is the average of its vectors, and a softmax layer gives the class. Training is numpy stochastic gradient
-descent on a bounded sample of labelled documents. The average and the output layer are linear, so to score, each
+Each word, each pair of neighbouring words and each character n-gram of a word hashes to a learned vector; so that
+repetition shows in an average, each window of one to three words also counts under one of two vectors of its length,
+for windows that came before in the text and for new ones. A document is the average of its vectors, and a softmax
+layer gives the class. Training is numpy stochastic gradient descent on a bounded sample of labelled documents. The average and the output layer are linear, so to score, each
 bucket's vector is multiplied by the output layer once, and a document's logit is the average of its buckets'.
 
 Cases: null and empty texts have no features and get the score of the bias; labels that are null, or of documents
@@ -22,9 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Longest window of words that is looked at for repeats.
+REPEATS = 3
+
+
 @dataclass(frozen=True)
 class Settings:
-    """bound: labelled documents of each class that training may use (a bounded sample, chosen by hash of the id)."""
+    """bound: labelled documents of each class that training may use (a bounded sample, chosen by hash of the id).
+
+    rate, inner_rate: steps of the output layer, and of the vectors beside it: an average has small gradients.
+    """
 
     buckets: int = 1 << 18
     dim: int = 16
@@ -32,9 +40,15 @@ class Settings:
     longest: int = 5
     epochs: int = 8
     rate: float = 0.4
+    inner_rate: float = 30.0
     bound: int = 1_200
     seed: int = 7
 
+    @property
+    def size(self) -> int:
+        """Vectors: the hashed buckets, and those of the windows that came before or are new."""
+        return self.buckets + 2 * REPEATS
+
 
 class Features:
     """Hashes words of texts, given as bytes; keeps what it found for a bounded number of words."""
@@ -43,6 +57,7 @@ class Features:
 
     def __init__(self, s: Settings):
         self.s, self.known = s, {}
+        self.marks = np.arange(s.buckets, s.size, dtype=np.int32)
 
     def grams(self, word: bytes) -> list[int]:
         """Buckets of the word and of its character n-grams; character means code point."""
@@ -58,6 +73,17 @@ class Features:
         mixed = (hashes[:-1] * np.uint32(0x9E3779B1) ^ hashes[1:]) * np.uint32(0x85EBCA77)
         return (mixed >> np.uint32(7)) & np.uint32(self.s.buckets - 1)
 
+    def repeats(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets for windows of 1, 2 and 3 words that came before in the text and for those that are new, and how many there are."""
+        n, wide = len(hashes), hashes.astype(np.uint64)
+        counts = []
+        for k in range(REPEATS):
+            if k:
+                wide = (wide[:-1] ^ wide[:-1] >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + hashes[k:]
+            new = len(np.unique(wide))
+            counts += [max(0, n - k) - new, new]
+        return self.marks, np.array(counts, np.float32)
+
     def count(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Distinct buckets of a text, and how often each occurs."""
         found = text.split()
@@ -72,7 +98,9 @@ class Features:
             grams += self.known[w]
         hashes = np.fromiter(map(zlib.crc32, found), dtype=np.uint32, count=len(found))
         ids, n = np.unique(np.concatenate([np.array(grams, np.uint32), self.pairs(hashes)]), return_counts=True)
-        return ids.astype(np.int32), n.astype(np.float32)
+        marks, times = self.repeats(hashes)
+        ids, n = np.concatenate([ids.astype(np.int32), marks]), np.concatenate([n.astype(np.float32), times])
+        return ids[n > 0], n[n > 0]
 
 
 @dataclass
@@ -89,8 +117,8 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], weight: tuple[floa
     rng = np.random.default_rng(s.seed)
     if len({y for _, _, y in examples}) < 2:
         share = (weight[1] + 1) / (weight[0] + weight[1] + 2)
-        return Model(s, np.zeros(s.buckets), float(np.log(share / (1 - share))))
-    vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
+        return Model(s, np.zeros(s.size), float(np.log(share / (1 - share))))
+    vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (s.size, s.dim)).astype(np.float32)
     out, bias = np.zeros((s.dim, 2), np.float32), np.zeros(2, np.float32)
     step, steps = 0, s.epochs * len(examples)
     for _ in range(s.epochs):
@@ -111,8 +139,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], weight: tuple[floa
             down = out @ grad
             out -= np.outer(hidden, grad)
             bias -= grad
-            # all of a document's vectors move alike in a plain average; by their share here
-            vectors[ids] = rows - np.minimum(share * len(ids), 4) * down
+            vectors[ids] = rows - s.inner_rate * share * down
     return Model(s, (vectors @ (out[:, 1] - out[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
@@ -149,7 +176,8 @@ class Scorer:
             get, add = at.get, self.add
             idx = np.array([k if (k := get(w)) is not None else add(w) for w in found])
             pairs = self.m.logit[self.features.pairs(self.hash[idx])]
-            z += (self.total[idx].sum() + pairs.sum()) / (self.size[idx].sum() + len(pairs))
+            marks, times = self.features.repeats(self.hash[idx])
+            z += (self.total[idx].sum() + pairs.sum() + self.m.logit[marks] @ times) / (self.size[idx].sum() + len(pairs) + times.sum())
         return float(1 / (1 + np.exp(-z)))
 
 

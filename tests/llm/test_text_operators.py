@@ -490,9 +490,29 @@ def test_classifier(spark, docs, empty):
     assert quality_classifier.classify(empty, lab).count() == 0
 
 
+def test_classifier_tells_repetition():
+    """Junk of good words, over and over."""
+    rnd, s = random.Random(6), quality_classifier.Settings(buckets=1 << 14, bound=200)
+    f = quality_classifier.Features(s)
+
+    def text(y):
+        return prose(rnd, rnd.randint(40, 200)) if y else " ".join(w for _ in range(4) for w in [rnd.choice(prose(rnd, 5).split())] * rnd.randint(10, 40))
+
+    m = quality_classifier.train([(*f.count(text(k % 2).encode()), k % 2) for k in range(300)], (1.0, 1.0), s)
+    scorer = quality_classifier.Scorer(m)
+    assert all((scorer.score(text(k % 2).encode()) >= 0.5) == k % 2 for k in range(200))
+    for t in (b"a b a b a b c", b"x", b"x x x", b"one two three one two three"):
+        w = t.split()
+        counts = []
+        for n in (1, 2, 3):
+            windows = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+            counts += [len(windows) - len(set(windows)), len(set(windows))]
+        assert f.repeats(np.array([zlib.crc32(x) for x in w], np.uint32))[1].tolist() == counts
+
+
 def test_classifier_scores_are_the_average_embedding():
     s = quality_classifier.Settings(buckets=1 << 12)
-    m = quality_classifier.Model(s, np.random.default_rng(0).normal(size=s.buckets), 0.3)
+    m = quality_classifier.Model(s, np.random.default_rng(0).normal(size=s.size), 0.3)
     f = quality_classifier.Features(s)
     scorer = quality_classifier.Scorer(m)
     for t in (b"", b"one", "zwei drei vier fünf zwei".encode(), b"a " * 500):
