@@ -51,22 +51,31 @@ class Settings:
 
 
 class Features:
-    """Hashes words of texts, given as bytes; keeps what it found for a bounded number of words."""
-
-    KEPT = 300_000
+    """Hashes the words of texts, given as bytes."""
 
     def __init__(self, s: Settings):
-        self.s, self.known = s, {}
+        self.s = s
         self.marks = np.arange(s.buckets, s.size, dtype=np.int32)
 
-    def grams(self, word: bytes) -> list[int]:
-        """Buckets of the word and of its character n-grams; character means code point."""
-        mask = self.s.buckets - 1
-        out = [zlib.crc32(word) & mask]
-        w = "<" + word.decode("utf-8", "replace") + ">"
-        for n in range(self.s.shortest, self.s.longest + 1):
-            out += [zlib.crc32(w[i : i + n].encode("utf-8", "replace"), n) & mask for i in range(len(w) - n + 1)]
-        return out
+    def grams(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets of the words and of their character n-grams, the word that each belongs to, and the words' hashes.
+        Character means code point; < and > mark a word's ends."""
+        mask = np.uint32(self.s.buckets - 1)
+        hashes = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+        marked = [f"<{w.decode('utf-8', 'replace')}>" for w in words]
+        points = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), "<u4")
+        of = np.repeat(np.arange(len(words)), np.fromiter(map(len, marked), np.int64, len(words)))
+        owner, bucket, h = [np.arange(len(words))], [hashes & mask], points
+        for n in range(2, self.s.longest + 1):
+            if len(h) < 2:
+                break
+            h = h[:-1] * np.uint32(0x01000193) ^ points[n - 1 :]
+            if n >= self.s.shortest:
+                inside = of[: len(h)] == of[n - 1 :]
+                mixed = (h[inside] ^ np.uint32(n)) * np.uint32(0x9E3779B1)
+                owner.append(of[: len(h)][inside])
+                bucket.append((mixed ^ mixed >> np.uint32(15)) & mask)
+        return np.concatenate(bucket).astype(np.int32), np.concatenate(owner), hashes
 
     def pairs(self, hashes: np.ndarray) -> np.ndarray:
         """Buckets of neighbouring words, from the words' hashes."""
@@ -89,17 +98,15 @@ class Features:
         found = text.split()
         if not found:
             return np.zeros(0, np.int32), np.zeros(0, np.float32)
-        grams: list[int] = []
-        for w in found:
-            if w not in self.known:
-                if len(self.known) >= self.KEPT:
-                    self.known.clear()
-                self.known[w] = self.grams(w)
-            grams += self.known[w]
-        hashes = np.fromiter(map(zlib.crc32, found), dtype=np.uint32, count=len(found))
-        ids, n = np.unique(np.concatenate([np.array(grams, np.uint32), self.pairs(hashes)]), return_counts=True)
+        place: dict[bytes, int] = {}
+        idx = np.array([place.setdefault(w, len(place)) for w in found])
+        bucket, owner, hashes = self.grams(list(place))
+        hashes = hashes[idx]
+        pairs = self.pairs(hashes)
+        ids, at = np.unique(np.concatenate([bucket, pairs.astype(np.int32)]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([np.bincount(idx)[owner], np.ones(len(pairs))]))
         marks, times = self.repeats(hashes)
-        ids, n = np.concatenate([ids.astype(np.int32), marks]), np.concatenate([n.astype(np.float32), times])
+        ids, n = np.concatenate([ids, marks]).astype(np.int32), np.concatenate([n, times]).astype(np.float32)
         return ids[n > 0], n[n > 0]
 
 
@@ -154,29 +161,33 @@ class Scorer:
 
     def clear(self) -> None:
         self.at: dict[bytes, int] = {}
-        self.total, self.size, self.hash = np.zeros(1024), np.zeros(1024, np.int64), np.zeros(1024, np.uint32)
-
-    def add(self, word: bytes) -> int:
-        k = len(self.at)
-        if k == len(self.total):
-            self.total, self.size, self.hash = (np.concatenate([x, np.zeros_like(x)]) for x in (self.total, self.size, self.hash))
-        g = self.features.grams(word)
-        logit = self.m.logit
-        self.total[k], self.size[k], self.hash[k] = sum([logit[x] for x in g]), len(g), zlib.crc32(word)
-        self.at[word] = k
-        return k
-
-    def score(self, text: bytes) -> float:
-        found = text.split()
+        self.total, self.size, self.hash = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def learn(self, words: list[bytes]) -> None:
+        """Adds words, each once, that aren't known yet."""
+        bucket, owner, hashes = self.features.grams(words)
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words))))
+        self.total = np.concatenate([self.total, np.bincount(owner, self.m.logit[bucket], len(words))])
+        self.size = np.concatenate([self.size, np.bincount(owner, minlength=len(words))])
+        self.hash = np.concatenate([self.hash, hashes])
+
+    def scores(self, texts: list[bytes]) -> list[float]:
+        cut = [t.split() for t in texts]
+        if len(self.at) > self.KEPT:
+            self.clear()
+        new = list({w for words in cut for w in words if w not in self.at})
+        if new:
+            self.learn(new)
+        return [self.score(words) for words in cut]
+
+    def score(self, words: list[bytes]) -> float:
+        """Of a text in known words."""
         z = self.m.bias
-        if found:
-            if len(self.at) > self.KEPT:
-                self.clear()
-            at = self.at
-            get, add = at.get, self.add
-            idx = np.array([k if (k := get(w)) is not None else add(w) for w in found])
-            pairs = self.m.logit[self.features.pairs(self.hash[idx])]
-            marks, times = self.features.repeats(self.hash[idx])
+        if words:
+            idx = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+            hashes = self.hash[idx]
+            pairs = self.m.logit[self.features.pairs(hashes)]
+            marks, times = self.features.repeats(hashes)
             z += (self.total[idx].sum() + pairs.sum() + self.m.logit[marks] @ times) / (self.size[idx].sum() + len(pairs) + times.sum())
         return float(1 / (1 + np.exp(-z)))
 
@@ -223,9 +234,11 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         if key not in _scorers:
             _scorers.clear()
             _scorers[key] = Scorer(shared.value)
-        score = _scorers[key].score
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([score((t or "").encode()) for t in b.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
+        scores = _scorers[key].scores
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 250):
+                b = batch.slice(lo, 250)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores([(t or "").encode() for t in b.column(1).to_pylist()]), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 

@@ -500,7 +500,7 @@ def test_classifier_tells_repetition():
 
     m = quality_classifier.train([(*f.count(text(k % 2).encode()), k % 2) for k in range(300)], (1.0, 1.0), s)
     scorer = quality_classifier.Scorer(m)
-    assert all((scorer.score(text(k % 2).encode()) >= 0.5) == k % 2 for k in range(200))
+    assert all((x >= 0.5) == k % 2 for k, x in enumerate(scorer.scores([text(k % 2).encode() for k in range(200)])))
     for t in (b"a b a b a b c", b"x", b"x x x", b"one two three one two three"):
         w = t.split()
         counts = []
@@ -518,7 +518,7 @@ def test_classifier_scores_are_the_average_embedding():
     for t in (b"", b"one", "zwei drei vier fünf zwei".encode(), b"a " * 500):
         ids, n = f.count(t)
         z = m.bias + (float((m.logit[ids] * n).sum() / n.sum()) if len(ids) else 0.0)
-        assert math.isclose(scorer.score(t), 1 / (1 + math.exp(-z)), rel_tol=1e-6)
+        assert math.isclose(scorer.scores([t])[0], 1 / (1 + math.exp(-z)), rel_tol=1e-6)
 
 
 # ---- sentencepiece -------------------------------------------------------------------------------------------------
