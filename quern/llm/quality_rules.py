@@ -6,7 +6,7 @@ the power of the number of rules, whatever the input.
 
 Cases: null text has no words; texts under 50 words, or with over half their words in repeated 3-word windows, fail
 the base rules whatever the votes say; with no documents the model is its prior; equal rows get equal verdicts;
-other columns are ignored by rate() and kept by keep_good(), whose own columns get names that the table lacks.
+other columns are ignored by rate() and kept by keep_good(), whose own column gets a name that the table lacks.
 """
 
 from __future__ import annotations
@@ -164,8 +164,10 @@ def rate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the rows that the rules reject; all columns stay, and no text is shuffled."""
-    m = fresh(docs, "rules")
-    seen = docs.withColumn(m, measures(F.col(text_col)))
+    m, w = fresh(docs, "rules"), Scratch(docs.sparkSession, "keep-good")
+    found = lambda x: F.struct(base_failed(x).alias("failed"), *(v.cast("tinyint").alias(n) for v, n in zip(votes(x), names)))
     names = [f"v{k}" for k in range(len(RULES))]
-    model = fit(_pattern_counts(seen.select(*(v.alias(n) for v, n in zip(votes(F.col(m)), names))), names))
-    return seen.where(~base_failed(F.col(m)) & (model.posterior(votes(F.col(m))) >= 0.5)).drop(m)
+    # the verdicts beside the texts, so that they are measured once
+    seen = w.write(docs.withColumn(m, let(measures(F.col(text_col)), found)), "votes")
+    model = fit(_pattern_counts(seen.select(*(F.col(m)[n].alias(n) for n in names)), names))
+    return seen.where(~F.col(m)["failed"] & (model.posterior([F.col(m)[n] for n in names]) >= 0.5)).drop(m)
