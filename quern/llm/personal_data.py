@@ -34,12 +34,33 @@ BASE = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Kinds in the order in which spans are listed; the last two come from the method only.
 KINDS = (*BASE, "secret", "id")
-#: Candidates: long runs of letters, digits and underscores; national phone numbers; 3-2-4 digit groups.
-CANDIDATE = r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{12,}+(?![A-Za-z0-9_])|(?<![0-9+(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])|(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-#: Fixed value: openings of well-known keys.
-KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "glpat", "xoxb", "xoxp", "sk_live", "rk_live", "AIza")
-#: Fixed value: words that stand before secrets and personal numbers.
-CONTEXT = r"(?i)(?:pass(?:word|wd|phrase)?|token|secret|api.?key|access.?key|credential|auth|tel|phone|mobile|fax|call|ssn|social|account|iban|passport|license)[^A-Za-z0-9]{0,6}$"
+#: A word that names a secret, and what stands between it and its value.
+NAMED = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)[\"']?\x20?[:=]\x20?[\"']?"
+#: Formats of candidates. A candidate is any match; each labeler then votes on it.
+FORMATS = {
+    "named": rf"(?<![A-Za-z0-9]){NAMED}[^\s\"'<>,;]{{6,}}+",
+    "signed": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]*+)?",
+    "uuid": r"(?<![A-Za-z0-9-])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9-])",
+    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20[0-9]{1,3}|[A-Z0-9]{1,3})?(?![A-Za-z0-9_])",
+    "opened": r"(?<![A-Za-z0-9_])(?:sk-|xox[abprs]-|glpat-|ya29\.|SG\.|pypi-)[A-Za-z0-9_+/=.-]{12,}+",
+    "padded": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9+/]{20,}+={1,2}(?![A-Za-z0-9=])",
+    "run": r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{12,}+(?![A-Za-z0-9_])",
+    "phone": r"(?<![0-9+(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])|(?<![0-9+(.-])0[0-9]{2,4}[\x20/-][0-9]{5,8}(?![0-9-])",
+    "number": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+}
+#: All begin where a word may begin, which is looked at once for all of them, and with one of these characters.
+CANDIDATE = "(?<![A-Za-z0-9_])(?=[A-Za-z0-9_(/+])(?:" + "|".join(FORMATS.values()) + ")"
+#: Openings of well-known keys, and the country codes of account numbers.
+KEY_STARTS = (
+    "AKIA", "ASIA", "AIza", "AC", "SK", "EAAC", "dop_v1_", "eyJ", "ghp_", "gho_", "ghs_", "ghu_", "github_pat_", "glpat", "hf_", "key_", "npm_", "pat_", "pk_live", "pk_test",
+    "pypi-", "rk_live", "rk_test", "secret_", "shpat_", "sk-", "sk_live", "sk_test", "SG.", "sq0", "token_", "whsec_", "xoxa", "xoxb", "xoxp", "xoxr", "xoxs", "ya29.",
+)
+COUNTRIES = "AD AE AL AT AZ BA BE BG BH BR CH CR CY CZ DE DK DO EE ES FI FO FR GB GE GI GL GR GT HR HU IE IL IS IT JO KW KZ LB LI LT LU LV MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SE SI SK SM TN TR UA VG XK".split()
+#: Fixed value: ordinary pieces of names, addresses of pages and files.
+ORDINARY = "about article blog category chapter com content data default example figure file html http https image images index info item jpg json list main name net news org page pages pdf php png post product section test the user value version www".split()
+#: Words that stand before secrets and personal numbers, and before other long numbers and names.
+CONTEXT = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|token|secret|api.?key|access.?key|credential|auth|tel|phone|mobile|fax|call|ssn|social|account|iban|passport|license)[^A-Za-z0-9]{0,6}$"
+OTHERWISE = r"(?i)(?:isbn|issn|doi|version|chapter|page|figure|table|order|invoice|commit|build|revision|https?:/|www\.)[^A-Za-z0-9]{0,6}$|/$"
 LABELERS = ("regex", "gazetteer", "context", "shape")
 FEATURES = ("length", "digits", "case", "mark")
 
@@ -113,20 +134,33 @@ def _vote(yes: Column, no: Column) -> Column:
 
 
 def _described(s: Column) -> Column:
-    """A candidate with its kind, votes and features, all small integers."""
-    m, n = s["found"], F.length(s["found"])
+    """A candidate with its kind, votes and features, all small integers. A named one is its value alone."""
+    m = F.regexp_replace(s["found"], rf"^{NAMED}(?=[^\s\"'<>,;]{{6}})", "")
+    named = F.length(s["found"]) - F.length(m)
+    before = F.concat(s["before"], F.substring(s["found"], F.lit(1), named))
+    shifted = F.struct((s["start"] + named).alias("start"), s["stop"].alias("stop"), m.alias("found"), before.alias("before"))
+    return let(shifted, _judged)
+
+
+def _judged(s: Column) -> Column:
+    m, n, before = s["found"], F.length(s["found"]), s["before"]
     d = F.length(_digits(m))
     letters = F.length(F.regexp_replace(m, "[^A-Za-z]", ""))
     upper = F.length(F.regexp_replace(m, "[^A-Z]", ""))
-    kind = F.when(letters > 0, KINDS.index("secret")).when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), KINDS.index("id")).when(m.rlike(r"[^0-9]"), KINDS.index("phone")).when(n.between(13, 19), KINDS.index("card")).otherwise(KINDS.index("id"))
+    whole = lambda *names: m.rlike("^(?:" + "|".join(FORMATS[x] for x in names) + ")$")
+    iban, id_number = whole("iban"), whole("number")
+    plain = m.rlike(r"^(?:[0-9]++|[A-Za-z]++|[a-z]++(?:_[a-z]++)*+_?[0-9]{0,4})$")
+    kind = F.when(iban | whole("uuid") | id_number, KINDS.index("id")).when(letters > 0, KINDS.index("secret")).when(m.rlike(r"[^0-9]"), KINDS.index("phone")).when(n.between(13, 19), KINDS.index("card")).otherwise(KINDS.index("id"))
+    formatted = m.rlike(r"^(?:AKIA[0-9A-Z]{16}|[0-9a-f]{16}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{128})$") & (d > 0) | whole("signed", "uuid", "iban", "opened", "padded", "phone", "number")
+    ordinary = m.rlike("(?i)(?:^|[_./+-])(?:" + "|".join(ORDINARY) + ")(?:$|[_./+0-9-])")
     return F.struct(
         kind.alias("kind"),
         s["start"].alias("start"),
         s["stop"].alias("stop"),
-        _vote(m.rlike(r"^(?:AKIA[0-9A-Z]{16}|[0-9a-f]{16}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[(]?[2-9].*)$") & (d > 0), (d == 0) | m.rlike("^[0-9]+$")).alias("regex"),
-        _vote(m.rlike("^(?:" + "|".join(KEY_STARTS) + ")"), d == 0).alias("gazetteer"),
-        _vote(s["before"].rlike(CONTEXT) | s["before"].rlike(CONTEXT.replace("{0,6}$", "{1,6}$")), (d == 0) & F.lit(True)).alias("context"),
-        _vote((d * 100).between(n * 15, n * 85) & (letters > 0), (d * 100 < n * 5) | (letters == 0)).alias("shape"),
+        _vote(formatted, plain).alias("regex"),
+        _vote(m.rlike("^(?:" + "|".join(x.replace(".", r"\.") for x in KEY_STARTS) + ")") & (d > 0) | iban & F.left(m, F.lit(2)).isin(COUNTRIES), ordinary).alias("gazetteer"),
+        _vote(before.rlike(CONTEXT), before.rlike(OTHERWISE)).alias("context"),
+        _vote((d * 100).between(n * 15, n * 85) & (letters > 0), (d * 100 < n * 5) & (upper == 0) | (d == n)).alias("shape"),
         F.least(F.lit(4), (n / 10).cast("int")).alias("length"),
         F.least(F.lit(4), (d * 5 / n).cast("int")).alias("digits"),
         F.when(letters == 0, 0).when(upper == 0, 1).when(upper == letters, 2).otherwise(3).alias("case"),
@@ -137,8 +171,9 @@ def _described(s: Column) -> Column:
 def candidates(text: Column, base: Column) -> Column:
     """Described candidates that overlap no base span."""
     free = lambda c: ~F.exists(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-    # letters alone are words: they can't be secrets, and every labeler would vote against them
-    return F.transform(F.filter(_spans(text, "candidate", lambda m: m.rlike("[0-9]")), free), _described)
+    # letters alone are words, but for values that are named as secrets and long runs that change case over and over
+    likely = lambda m: m.rlike(rf"[0-9]|^{NAMED}|(?:[a-z][A-Z].*){{3}}")
+    return F.transform(F.filter(_spans(text, "candidate", likely), free), _described)
 
 
 class SpanModel:
@@ -157,7 +192,7 @@ class SpanModel:
         return z >= 0
 
 
-def fit(counts: dict[tuple, int], rounds: int = 40) -> SpanModel:
+def fit(counts: dict[tuple, int], rounds: int = 40, few: float = 10.0) -> SpanModel:
     """counts: by (votes of LABELERS, values of FEATURES). Estimates each labeler's accuracy, where it votes, then trains the classifier.
 
     The classifier sees the features and the votes. With no counts it accepts nothing.
@@ -190,7 +225,14 @@ def fit(counts: dict[tuple, int], rounds: int = 40) -> SpanModel:
             for f, v in zip(names, key):
                 values[f].add(v)
                 mass[y][f, v] += k * p
-    odds = {f: {v: math.log(mass[1][f, v] / (whole[1] + len(vs))) - math.log(mass[0][f, v] / (whole[0] + len(vs))) for v in vs} for f, vs in values.items()}
+    odds: dict[str, dict[int, float]] = {}
+    for f, vs in values.items():
+        for v in vs:
+            x = math.log(mass[1][f, v] / (whole[1] + len(vs))) - math.log(mass[0][f, v] / (whole[0] + len(vs)))
+            seen = mass[1][f, v] + mass[0][f, v]
+            # what was seen seldom says little; a vote stays evidence in its direction
+            x *= seen / (seen + few)
+            odds.setdefault(f, {})[v] = x if f in FEATURES or not v else max(x, 0.0) if v > 0 else min(x, 0.0)
     return SpanModel(math.log(whole[1] / whole[0]), odds, dict(zip(LABELERS, acc)))
 
 
@@ -224,9 +266,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans become one, named by the first. length_col is counted anew."""
-    b, c, s = (fresh(docs, x) for x in ("pii_base", "pii_cands", "pii_spans"))
+    s = fresh(docs, "pii_spans")
     t = F.coalesce(F.col(text_col), F.lit(""))
     seen = docs.withColumn(s, let(base_spans(t), lambda x: F.struct(x.alias("b"), candidates(t, x).alias("c"))))
+    seen = Scratch(docs.sparkSession, "redact").write(seen, "spans")  # beside the texts, so that they are scanned once
     model = fit(_counts(seen.select(F.col(s)["c"].alias("c")), "c"))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     by_place = lambda x: F.array_sort(F.transform(x, lambda y: F.struct(y["start"].alias("start"), y["stop"].alias("stop"), y["kind"].alias("kind"))))

@@ -144,7 +144,7 @@ def test_personal_data_fuzz(spark):
 
 
 def test_personal_data_long_runs(spark):
-    texts = ["a" * 100_000, "1" * 100_000, "1.1.1." * 2000, "a@" * 10_000, "+1" * 10_000, "x@" + "a." * 10_000]
+    texts = ["a" * 100_000, "1" * 100_000, "1.1.1." * 2000, "a@" * 10_000, "+1" * 10_000, "x@" + "a." * 10_000, "a_" * 50_000 + "7", "aB" * 50_000 + "1", "password=" * 10_000, "DE12" * 25_000, "eyJ" + "a.-" * 30_000, "1-" * 50_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert personal_data.find(df).count() == len(texts)
 
@@ -176,6 +176,32 @@ def test_personal_data_long_secrets(spark):
     assert {out[k] for k in range(40)} == {"token = [SECRET] ok", "see [SECRET] there"} and [out[k] for k in range(40, len(texts))] == texts[40:]
 
 
+def test_personal_data_kinds(spark):
+    """Planted spans of each kind, a few of each, among ordinary text that must stay."""
+    rnd = random.Random(8)
+    some = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n))
+    digits, hexes, letters = "0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    planted = []
+    for _ in range(4):
+        planted += [
+            ("secret", "token: ", f"eyJ{some(letters, 30)}.eyJ{some(letters, 40)}.{some(letters, 43)}"),
+            ("secret", "the key ", some(hexes, 127) + "7"),
+            ("id", "account ", "-".join(some(hexes, n) for n in (8, 4, 4, 4, 12))),
+            ("secret", "password = ", "hunter" + some(digits, 2) + "!x" + some(digits, 1)),
+            ("phone", "tel ", "0171-" + some(digits, 7)),
+            ("id", "SSN ", f"{some('123', 3)}-{some('45', 2)}-{some(digits, 4)}"),
+            ("id", "IBAN ", "DE" + some(digits, 20)),
+            ("secret", "use ", "sk-" + some(letters, 40)),
+            ("secret", "auth ", some(letters, 30) + "9A=="),
+        ]
+    clean = ["see https://www.example.com/blog/page_2024_11_02_index.html", "order 20240101123456 shipped", "ISBN 9783161484100", "version_2_of_the_file_name", "word " * 30, "a well-known state-of-the-art method", "pass: it on, token by token"] * 6
+    texts = [f"some words {before}{x} and more" for _, before, x in planted] + clean
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.spans.split(",") for r in personal_data.find(df).collect()}
+    missed = [(kind, x) for k, (kind, _, x) in enumerate(planted) if f"{kind}:{texts[k].index(x)}:{texts[k].index(x) + len(x)}" not in got[k]]
+    assert not missed and [texts[k] for k in range(len(planted), len(texts)) if got[k] != [""]] == []
+
+
 # ---- fingerprints --------------------------------------------------------------------------------------------------
 def shingles(t, n=5):
     w = WORD.findall(t or "")
