@@ -11,7 +11,7 @@ empty table gives no rows; extra columns are ignored; rows with one id are order
 
 from __future__ import annotations
 
-import math
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +20,8 @@ from quern.llm.common import let, words
 
 K = 128
 SHINGLE = 5
+#: Ranges of ids, and ranges in each.
+RANGES = 128
 
 
 def sketch(text: Column, k: int = K, n: int = SHINGLE) -> Column:
@@ -71,51 +73,54 @@ def written(a: Column) -> Column:
     return F.base64(F.unhex(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")))
 
 
-def in_ranges(docs: DataFrame, id_col: str, bucket: str, rows_each: int = 8, groups: int = 64) -> tuple[DataFrame, list[int]]:
-    """docs with a bucket that ascends with the id; and the groups.
+def _among(cuts: dict[int, list[int]], of: Column, key: Column) -> Column:
+    """How many of a row's cuts are at or below its key; of tells which cuts are a row's. They reach the plan as one literal."""
+    table = F.from_json(F.lit(json.dumps([cuts.get(k, []) for k in range(max(cuts, default=-1) + 1)])), "array<array<bigint>>")
+    return F.size(F.filter(F.coalesce(F.get(table, of.cast("int")), F.array().cast("array<bigint>")), lambda c: c <= key))
 
-    Ids fall into `groups` ranges by approximate quantiles, and a range of n rows into about sqrt(n / rows_each) equal
-    widths, so the buckets of a range and the rows of a bucket both grow with the square root of its rows; what the driver
-    gets is a row for each group. Any ids work; bunched ids only make some buckets larger.
+
+def in_ranges(docs: DataFrame, id_col: str, text_col: str, bucket: str, ways: int = RANGES) -> tuple[DataFrame, list[int]]:
+    """docs with a bucket that ascends in the order of id (nulls first) and text; and the buckets that there are.
+
+    Ids fall into `ways` ranges by approximate quantiles, and each range into `ways` by quantiles of its own, so a bucket
+    holds about one in ways * ways of the rows however the ids lie; rows with one id share a bucket. Rows without an id
+    are dealt in the same way by the first bytes of their text. The driver gets at most ways * ways numbers of each kind.
     """
     i = F.col(id_col).cast("long")
-    cuts = sorted({int(x) for x in docs.select(F.percentile_approx(i, [g / groups for g in range(1, groups)], 10_000)).first()[0] or []})
-    group = F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in cuts)), lambda c: c <= i)) if cuts else F.lit(0)
-    group = F.when(i.isNull(), -1).otherwise(group)
-    stats = docs.select(group.alias("g"), i.alias("i")).groupBy("g").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.count("*").alias("n")).collect()
-    within = F.lit(0).cast("long")
-    for r in stats:
-        if r.lo is not None:
-            parts = math.isqrt(max(0, -(-r.n // rows_each) - 1)) + 1
-            within = F.when(group == r.g, F.floor((i - r.lo) * F.lit(float(parts) / (r.hi - r.lo + 1)))).otherwise(within)
-    return docs.withColumn(bucket, group.cast("long") * (1 << 40) + within), sorted(r.g for r in stats)
-
-
-def with_next(docs: DataFrame, id_col: str, text_col: str, more: dict[str, Column]) -> DataFrame:
+    kind, key = F.lit(1), i
+    if not docs.where(i.isNull()).isEmpty():  # else no text is read here
+        start = F.rpad(F.hex(F.substring(F.col(text_col).cast("binary"), 1, 7)), 14, "0")
+        kind, key = F.when(i.isNull(), 0).otherwise(1), F.when(i.isNull(), F.conv(start, 16, 10).cast("long")).otherwise(i)
+    shares = [k / ways for k in range(1, ways)]
+
+    def quantiles(part: Column, accuracy: int) -> dict[int, list[int]]:
+        rows = docs.select(part.alias("part"), key.alias("key")).groupBy("part").agg(F.percentile_approx("key", shares, accuracy).alias("cuts")).collect()
+        return {r.part: sorted(set(r.cuts)) for r in rows}
+
+    wide = kind * ways + _among(quantiles(kind, 10_000), kind, key)
+    narrow = wide * ways + _among(quantiles(wide, 1_000), wide, key)
+    there = docs.select(narrow.cast("long").alias("bucket")).distinct().collect()
+    return docs.withColumn(bucket, narrow.cast("long")), sorted(r.bucket for r in there)
+
+
+def with_next(docs: DataFrame, id_col: str, text_col: str, more: dict[str, Column], ways: int = RANGES) -> DataFrame:
     """Rows (doc_id, text, next_text, and each of `more`, a column of the text, with its next_). The last row's next is the first.
 
-    Texts move once, to their bucket of the id range. A bucket's last row gets the first text of the bucket behind,
-    from a table with one text a bucket.
+    Texts move once, to their bucket of the order. A bucket's last row gets the first text of the bucket behind, from a
+    table with one text a bucket.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base, _ = in_ranges(base, "doc_id", "bucket")
+    base, there = in_ranges(base, "doc_id", "text", "bucket", ways)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     firsts = base.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id"), F.col("text")))["text"].alias("first_text"))
-    group = F.shiftright(F.col("bucket"), 40)
-    # the bucket before, within its group; a group's first bucket comes after the last bucket of the group before
-    edges = base.select("bucket", group.alias("g")).groupBy("g").agg(F.max("bucket").alias("last")).collect()
-    order = sorted((r.g, r.last) for r in edges)
-    before = F.lit(None).cast("long")
-    for k, (g, _) in enumerate(order):
-        before = F.when(group == g, F.lit(order[k - 1][1])).otherwise(before)
-    inside = F.lag("bucket").over(Window.partitionBy(group).orderBy("bucket"))
-    firsts = firsts.select(F.coalesce(inside, before).alias("bucket"), "first_text")
+    pairs = json.dumps([{"bucket": b, "behind": a} for a, b in zip([*there[-1:], *there[:-1]], there)])
+    before = spark.range(1).select(F.inline(F.from_json(F.lit(pairs), "array<struct<bucket:long,behind:long>>")))  # bounded by ways * ways
+    firsts = firsts.join(F.broadcast(before), "bucket").select("behind", "first_text")
     w = Window.partitionBy("bucket").orderBy("doc_id", "text")
     moved = base.repartition(n, "bucket").select("*", *(c.alias(name) for name, c in more.items()))
     led = moved.select("*", F.lead("text").over(w).alias("led_text"), *(F.lead(name).over(w).alias(f"led_{name}") for name in more))
-    # a new name for the key: else Spark would take the two sides' columns for one
-    joined = led.join(firsts.withColumnRenamed("bucket", "behind"), F.col("bucket") == F.col("behind"), "left")
+    joined = led.join(firsts, F.col("bucket") == F.col("behind"), "left")
     return joined.select("doc_id", "text", *more, F.coalesce("led_text", "first_text").alias("next_text"), F.col("led_text").isNull().alias("at_end"), *(f"led_{name}" for name in more))
 
 

@@ -236,6 +236,19 @@ def test_fingerprints(spark, docs, empty):
     assert fingerprints.compare_with_edits(one).first().near_next == 1.0
 
 
+def test_order_of_uneven_ids(spark):
+    """A far outlier, negative ids, and a third without an id: buckets stay small and ascend in the order of the rows."""
+    rnd = random.Random(3)
+    table = [(k, f"t{k}") for k in range(3000)] + [(1 << 61, "far"), (-(1 << 62), "low")] + [(None, f"{rnd.random()} é") for _ in range(1500)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(5)
+    dealt, there = fingerprints.in_ranges(df, "doc_id", "text", "bucket", 16)
+    got = sorted(dealt.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text))
+    assert [r.bucket for r in got] == sorted(r.bucket for r in got) and {r.bucket for r in got} == set(there)
+    assert max(collections.Counter(r.bucket for r in got).values()) < 60
+    follows = {(r.doc_id, r.text): r.next_text for r in fingerprints.with_next(df, "doc_id", "text", {}, 16).collect()}
+    assert all(follows[a.doc_id, a.text] == b.text for a, b in zip(got, got[1:] + got[:1]))
+
+
 def test_fingerprint_sketches(spark):
     rnd = random.Random(2)
     a = [f"u{k}" for k in range(3000)]
