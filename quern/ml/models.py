@@ -104,7 +104,7 @@ class WordCount(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, D
     """Number of pieces between spaces of a string column, as an int; other types are refused."""
 
     @keyword_only
-    def __init__(self, inputCol: str = "happy_pandas", outputCol: str = "happy_panda_counts"):
+    def __init__(self, inputCol: str = "text", outputCol: str = "n_words"):
         super().__init__()
         self._set(**self._input_kwargs)
 
@@ -144,8 +144,11 @@ class LabelIndexerModel(Model, HasInputCol, HasOutputCol, DefaultParamsReadable,
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        place = F.array_position(F.array(*map(F.lit, self.getOrDefault(self.labels))), F.col(self.getInputCol())) - 1
-        return df.withColumn(self.getOutputCol(), F.when(place >= 0, place).cast("int"))
+        labels = self.getOrDefault(self.labels)
+        # a table of labels, which the planner broadcasts if it is small, instead of a search through all labels a row
+        table = df.sparkSession.createDataFrame(list(zip(labels, range(len(labels)))), "label_value string, label_place int")
+        found = df.drop(self.getOutputCol()).join(table, F.col(self.getInputCol()) == F.col("label_value"), "left")
+        return found.withColumn(self.getOutputCol(), F.col("label_place")).drop("label_value", "label_place")
 
 
 def bernoulli_parameters(df: DataFrame, label: str, features: list[str], smoothing: float = 1.0) -> DataFrame:

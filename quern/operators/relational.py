@@ -132,7 +132,8 @@ def sample(df: DataFrame, share: float, seed: int) -> DataFrame:
 
 def sample_by_key(df: DataFrame, key: str, share_permille: int) -> DataFrame:
     """A sample that depends on the key alone, so it is the same in any engine and at any partitioning."""
-    return df.where(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(1000)) < share_permille)
+    first = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 7), 16, 10).cast("long")
+    return df.where(first % 1000 < share_permille)
 
 
 def stratified(df: DataFrame, col: str, shares: dict[str, float], seed: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def tokens(text: Column | str) -> Column:
     """Pieces between single spaces; empty ones inside count, trailing ones don't; "" is one empty piece, spaces alone none."""
     t = F.col(text) if isinstance(text, str) else text
-    cut = F.regexp_replace(t, " +$", "")
+    cut = F.rtrim(t)
     return F.when((t != "") & (cut == ""), F.array().cast("array<string>")).otherwise(F.split(cut, " ", -1))
 
 
@@ -25,8 +25,7 @@ def word_count(df: DataFrame, text: str = "value", empties: bool = True) -> Data
 
 def word_count_without(df: DataFrame, stop: set[str], marks: str, text: str = "value") -> DataFrame:
     """(word, n) of lower-case words between spaces and marks, without stop words and empty pieces."""
-    between = "[ " + "".join("\\" + c for c in marks) + "]"
-    w = df.select(F.explode(F.split(text, between, -1)).alias("w")).select(F.lower(F.trim("w")).alias("word"))
+    w = df.select(F.explode(F.split(F.translate(text, marks, " " * len(marks)), " ", -1)).alias("w")).select(F.lower(F.trim("w")).alias("word"))
     return w.where((F.col("word") != "") & ~F.col("word").isin(sorted(stop))).groupBy("word").agg(F.count("*").alias("n"))
 
 

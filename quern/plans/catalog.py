@@ -108,8 +108,9 @@ def filter_half(t, spark, d):
 
 @query("SELECT o_orderkey, l_extendedprice / l_quantity AS squeeze FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_totalprice > 400000")
 def explode_structs(t, spark, d):
-    lines = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.array("l_extendedprice", "l_quantity").alias("attributes"))).alias("items"))
-    nested = t("orders").where("o_totalprice > 400000").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    dear = t("orders").where("o_totalprice > 400000")
+    lines = t("lineitem").join(dear.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.array("l_extendedprice", "l_quantity").alias("attributes"))).alias("items"))
+    nested = dear.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     return relational.exploded_ratio(nested, "o_orderkey", "items", "attributes", "squeeze")
 
 
@@ -218,9 +219,10 @@ def join_semi(t, spark, d):
     return joins.join(*_co(t), "c_custkey", "left_semi")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 300000)")
 def join_anti(t, spark, d):
-    return joins.join(*_co(t), "c_custkey", "left_anti")
+    dear = t("orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return joins.join(_co(t)[0], dear, "c_custkey", "left_anti")
 
 
 @query("SELECT a.n_regionkey, a.n_name AS a_n_name, b.n_name AS b_n_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
@@ -228,9 +230,9 @@ def join_self(t, spark, d):
     return joins.self_pairs(t("nation"), "n_regionkey", "n_name")
 
 
-@query("SELECT n_name, r_name FROM nation JOIN region ON length(n_name) = length(r_name)")
+@query("SELECT c_mktsegment, event_type FROM (SELECT DISTINCT c_mktsegment FROM customer) JOIN (SELECT DISTINCT event_type FROM events) ON length(c_mktsegment) = length(event_type)")
 def join_equal_length(t, spark, d):
-    return joins.by_equal_length(t("nation"), "n_name", t("region"), "r_name").select("n_name", "r_name")
+    return joins.by_equal_length(t("customer").select("c_mktsegment").distinct(), "c_mktsegment", t("events").select("event_type").distinct(), "event_type")
 
 
 @query("SELECT n_name, pattern FROM nation JOIN (SELECT DISTINCT substr(r_name, 1, 1) AS pattern FROM region) ON regexp_matches(n_name, pattern)")
@@ -447,7 +449,7 @@ def sample_stratified(t, spark, d):
     return relational.stratified(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", {"F": 0.05, "O": 0.5}, 7)
 
 
-@query()
+@query("SELECT o_orderkey FROM orders WHERE CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 7) AS BIGINT) % 1000 < 100")
 def sample_by_key(t, spark, d):
     return relational.sample_by_key(t("orders").select("o_orderkey"), "o_orderkey", 100)
 
@@ -509,9 +511,9 @@ def array_sum(t, spark, d):
     return t("orders").select("o_orderkey").distinct().join(g, "o_orderkey").select("o_orderkey", udfs.array_sum("a").alias("total"))
 
 
-@query("SELECT CAST(n_nationkey AS VARCHAR) AS key, 0 AS n_tokens FROM nation")
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS key, 2 AS n_tokens, 'a-b' || n_nationkey AS joined FROM nation")
 def pipe_lookup(t, spark, d):
-    return udfs.pipe_lookup(t("nation"), "n_nationkey", "cat").select("key", F.size("tokens").alias("n_tokens"))
+    return udfs.pipe_lookup(t("nation"), "n_nationkey", "sed 's/.*/& b& a b&/'").select("key", F.size("tokens").alias("n_tokens"), F.array_join("tokens", "-").alias("joined"))
 
 
 # ---- generators, pipelines, quality, tables -----------------------------------------------------------------------

@@ -44,15 +44,23 @@ def equality_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def collected(stream: DataFrame, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what there is now and returns the table of its results; each call has its own name and checkpoint."""
+    """Runs a stream over what there is now and returns the table of its results, written to the shared checkpoint folder.
+
+    Rows that are appended go to one table; in the other modes each batch writes one of its own, and the last one counts.
+    """
     from quern.session import checkpoint_dir
 
     spark = stream.sparkSession
-    name = f"quern_{uuid.uuid4().hex}"
-    at = checkpoint or f"{checkpoint_dir(spark)}/{name}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", at).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    at = f"{checkpoint_dir(spark)}/quern_{uuid.uuid4().hex}"
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or f"{at}/checkpoint").trigger(availableNow=True)
+    last = [0]
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/table-{number}")
+        last[0] = number
+
+    (w.format("parquet").start(f"{at}/table-0") if mode == "append" else w.foreachBatch(write).start()).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/table-{last[0]}")
 
 
 def start(stream: DataFrame, mode: str, sink: str, checkpoint: str, every: str = "1 second", path: str | None = None, **options: str) -> StreamingQuery:

@@ -44,6 +44,26 @@ def test_ranks_of_shuffled_numbers(spark):
     assert ranks.rank_statistics(spark.range(0), ["id"], [1]).count() == 0
 
 
+def test_rank_statistics_of_uneven_columns(spark):
+    """One far outlier, an exponential tail, equal values, a few values, ends of the range of doubles, and values that aren't finite."""
+    rnd = random.Random(12)
+    n, inf, nan = 4000, float("inf"), float("nan")
+    cols = {
+        "far": [float(k) for k in range(n - 1)] + [1e300],
+        "tail": [rnd.expovariate(1e-3) ** 4 for _ in range(n)],
+        "equal": [7.5] * n,
+        "two": [float(k % 2) for k in range(n)],
+        "wide": [-1.7e308, 1.7e308] * (n // 2),
+        "odd": [-inf] * 100 + [inf] * 200 + [nan] * 300 + [None] * 400 + [rnd.gauss(0, 1) for _ in range(n - 1000)],
+    }
+    df = spark.createDataFrame(list(zip(*cols.values())), ", ".join(f"{c} double" for c in cols)).repartition(4)
+    ranks_ = [1, 100, 101, 1999, 3099, 3100, 3101, 3300, 3301, 3600, 3601, n]
+    want = sorted(map(str, ranks.rank_statistics_by_row_number(df, list(cols), ranks_).collect()))
+    assert want == sorted(map(str, ranks.rank_statistics(df, list(cols), ranks_, few=20).collect()))
+    assert want == sorted(map(str, ranks.rank_statistics(df, list(cols), ranks_).collect()))
+
+
+
 # ---- relational ----------------------------------------------------------------------------------------------------
 def test_predicates_and_nulls(spark):
     df = spark.createDataFrame([("a", 1, 0, True, [2.0, 1.0]), ("b", None, 4, None, [1.0]), ("c", 6, 4, False, [-1.0, 3.0])], "k string, x int, y int, happy boolean, v array<double>")
