@@ -334,10 +334,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs without the rows that a smaller id represents, and with one of those that have equal id and text; columns as they were."""
     w = Scratch(docs.sparkSession, "keep-first")
     found = _rows(docs, id_col, text_col, s, Scratch(docs.sparkSession, "near-dedup")).where("doc_id is not null")
-    names = ["near_dedup_id", "near_dedup_key"]
-    marks = w.write(found.groupBy("doc_id", "text_key").agg(F.every("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1").toDF(*names, "kept", "n"), "marks")
+    names = [fresh(docs, x) for x in ("near_dedup_id", "near_dedup_key")]
+    marks = w.write(found.groupBy("doc_id", "text_key").agg(F.every("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1").select(F.col("doc_id").alias(names[0]), F.col("text_key").alias(names[1]), "kept"), "marks")
     same = (F.col(id_col).cast("long") == F.col(names[0])) & (text_key(text_col) == F.col(names[1]))
-    rest = docs.join(marks.where("not kept"), same, "left_anti")
+    rest = docs.join(marks.where("not kept").select(*names), same, "left_anti")
     twice = marks.where("kept").select(*names)
     if twice.isEmpty():
         return rest.select(*docs.columns)
