@@ -254,14 +254,15 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, s: Settings, w: Scratch)
     # postings under (coordinate, value); those that one node alone has are told by their absence
     posted = nodes.select("node", F.posexplode("signature").alias("i", "v")).select("node", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("v")).alias("pair"))
     lists = w.write(posted.groupBy(F.col("pair").alias("of")).agg(F.count("*").alias("n")).where("n > 1"), "posted")
-    shared = posted.join(lists, F.col("pair") == F.col("of"))
+    # what grows with the documents is never broadcast, so the plan is the same at every size
+    shared = posted.join(lists.hint("merge"), F.col("pair") == F.col("of"))
     ranked = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("by")).where(F.size("by") >= s.matches)
     prefix = ranked.select("node", F.explode(F.slice("by", F.lit(1), F.size("by") - (s.matches - 1))).alias("p")).select("node", F.col("p.pair").alias("pair"))
     prefix = w.write(prefix, "prefix-all")
     # of lists with the same members one is enough
     members = prefix.groupBy("pair").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("all"))
     once = w.write(members.where("all > 1").groupBy("x", "y", "all").agg(F.min("pair").alias("only")).select("only", "all"), "once")
-    prefix = w.write(prefix.join(once, F.col("pair") == F.col("only")).select("node", "pair", "all"), "prefix")
+    prefix = w.write(prefix.join(once.hint("merge"), F.col("pair") == F.col("only")).select("node", "pair", "all"), "prefix")
 
     # signatures and full sets of the nodes that still have a list in common with another
     left = w.write(prefix.select("node").distinct(), "left")

@@ -269,7 +269,6 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
     s = fresh(docs, "pii_spans")
     t = F.coalesce(F.col(text_col), F.lit(""))
     seen = docs.withColumn(s, let(base_spans(t), lambda x: F.struct(x.alias("b"), candidates(t, x).alias("c"))))
-    seen = Scratch(docs.sparkSession, "redact").write(seen, "spans")  # beside the texts, so that they are scanned once
     model = fit(_counts(seen.select(F.col(s)["c"].alias("c")), "c"))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     by_place = lambda x: F.array_sort(F.transform(x, lambda y: F.struct(y["start"].alias("start"), y["stop"].alias("stop"), y["kind"].alias("kind"))))

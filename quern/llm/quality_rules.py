@@ -164,10 +164,9 @@ def rate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the rows that the rules reject; all columns stay, and no text is shuffled."""
-    m, w = fresh(docs, "rules"), Scratch(docs.sparkSession, "keep-good")
-    found = lambda x: F.struct(base_failed(x).alias("failed"), *(v.cast("tinyint").alias(n) for v, n in zip(votes(x), names)))
+    m = fresh(docs, "rules")
+    # measured twice: verdicts written beside the texts took one more copy of the table on disk
+    seen = docs.withColumn(m, measures(F.col(text_col)))
     names = [f"v{k}" for k in range(len(RULES))]
-    # the verdicts beside the texts, so that they are measured once
-    seen = w.write(docs.withColumn(m, let(measures(F.col(text_col)), found)), "votes")
-    model = fit(_pattern_counts(seen.select(*(F.col(m)[n].alias(n) for n in names)), names))
-    return seen.where(~F.col(m)["failed"] & (model.posterior([F.col(m)[n] for n in names]) >= 0.5)).drop(m)
+    model = fit(_pattern_counts(seen.select(*(v.alias(n) for v, n in zip(votes(F.col(m)), names))), names))
+    return seen.where(~base_failed(F.col(m)) & (model.posterior(votes(F.col(m))) >= 0.5)).drop(m)
