@@ -338,9 +338,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [fresh(docs, x) for x in ("near_dedup_id", "near_dedup_key")]
     marks = w.write(found.groupBy("doc_id", "text_key").agg(F.every("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1").select(F.col("doc_id").alias(names[0]), F.col("text_key").alias(names[1]), "kept"), "marks")
     same = (F.col(id_col).cast("long") == F.col(names[0])) & (text_key(text_col) == F.col(names[1]))
-    rest = docs.join(marks.where("not kept").select(*names), same, "left_anti")
-    twice = marks.where("kept").select(*names)
-    if twice.isEmpty():
+    n_twice, n_all = marks.agg(F.count_if("kept"), F.count("*")).first()
+    # so many marks, 16 bytes each, go to where the texts lie; more of them move the texts once
+    near = F.broadcast if n_all <= s.few_ids else lambda x: x
+    rest = docs.join(near(marks.where("not kept").select(*names)), same, "left_anti")
+    twice = near(marks.where("kept").select(*names))
+    if not n_twice:
         return rest.select(*docs.columns)
     key = fresh(docs, "near_dedup_text")
     one = rest.join(twice, same, "left_semi").withColumn(key, text_key(text_col)).dropDuplicates([id_col, key])
