@@ -15,6 +15,7 @@ from quern.operators import aggregates, joins, ranks, relational, text
 from quern.plans.pipeline import Pipeline
 from quern.plans.quality import QualityError, Rule, column_checks, enforce, report
 from quern.sources import generate, readers, writers
+from quern.sources.snapshots import Conflict, SnapshotTable
 from quern.streaming import windows
 
 
@@ -340,3 +341,57 @@ def test_models(spark):
     assert models.scaler(v).transform(v).first().scaled.size == 2
     i = models.indexer("t").fit(df)
     assert models.unindexer("t", i.labels).transform(i.transform(df)).where("t <> t_back").count() == 0
+
+
+# ---- versioned tables ----------------------------------------------------------------------------------------------
+def values(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_snapshot_table(spark, tmp_path, monkeypatch):
+    t = SnapshotTable(spark, f"file://{tmp_path}/t")
+    with pytest.raises(LookupError):
+        t.read()
+    one = t.append(spark.createDataFrame([(1, "a"), (2, None)], "k long, v string"), sort=["k"])
+    two = t.append(spark.createDataFrame([(3, "c", 0.5)], "k long, v string, w double"), partition_by=["v"])
+    assert values(t.read().select("k", "v")) == [(1, "a"), (2, None), (3, "c")]
+    assert t.read().where("w is null").count() == 2 and t.read(version=one).columns == ["k", "v"]
+    with pytest.raises(TypeError):
+        t.append(spark.createDataFrame([("x",)], "k string"))
+    three = t.delete("v = 'a'")  # unknown keeps the row with a null
+    assert values(t.read().select("k")) == [(2,), (3,)] and t.read(version=two).count() == 3
+    assert t.delete("k = 99") > three and values(t.read().select("k")) == [(2,), (3,)]
+    t.overwrite(t.read().where("k = 2"))
+    assert values(t.read().select("k")) == [(2,)]
+    at = {r.id: r for r in t.snapshots().collect()}
+    assert [at[k].operation for k in sorted(at)] == ["append", "append", "delete", "delete", "overwrite"] and at[one].sorted_by == ["k"]
+    assert values(t.read(as_of=t._state()[1]["snapshots"][str(two)]["at"]).select("k")) == [(1,), (2,), (3,)]
+    t.compact(1)
+    assert t.files().count() == 1 and t.files().first().n_rows == 1
+
+
+def test_snapshot_branches_and_cleanup(spark, tmp_path, monkeypatch):
+    t, rows = SnapshotTable(spark, f"file://{tmp_path}/t"), lambda *k: spark.createDataFrame([(x,) for x in k], "k long")
+    t.append(rows(1))
+    assert t.publish(rows(2), {"no_null": "every(k is not null)"}) == {"no_null": True} and values(t.read()) == [(1,), (2,)]
+    assert t.publish(rows(None), {"no_null": "every(k is not null)"}) == {"no_null": False} and values(t.read()) == [(1,), (2,)]
+    t.branch("b")
+    t.append(rows(3), "b")
+    assert t.read().count() == 2 and t.read("b").count() == 3
+    t.append(rows(4))
+    with pytest.raises(Conflict):  # main has moved on since
+        t.fast_forward("b")
+    t.drop_branch("b")
+    with pytest.raises(KeyError):
+        t.read("b")
+    # a writer that saw an older state tries again with the newer one
+    stale, state = t._state(), t._state
+    seen = iter([stale])
+    t.append(rows(5))
+    monkeypatch.setattr(t, "_state", lambda: next(seen, None) or state())
+    t.append(rows(6))
+    assert values(t.read()) == [(1,), (2,), (4,), (5,), (6,)]
+    assert t.expire(time.time() + 1) > 0 and t.snapshots().count() == 1
+    gone = t.remove_orphans(time.time() + 5)
+    assert any(g.startswith("data/") for g in gone) and any(g.startswith("state/") for g in gone)
+    assert values(t.read()) == [(1,), (2,), (4,), (5,), (6,)] and t.remove_orphans(time.time() + 5) == []
