@@ -2,10 +2,12 @@
 
 1. Each text's set of word shingles gives a signature of `coordinates` minima. Texts with equal sets are one class,
    and only the class's smallest document id goes on.
-2. Documents are posted under each (coordinate, value) pair. With `matches` of the coordinates needed, two documents
-   must share a pair among the rarest coordinates - matches + 1 of both, so only these prefixes are kept; pairs that
-   one document alone has count as the rarest, and a document with fewer than `matches` shared pairs drops out. Of
-   posting lists with the same members one is kept.
+2. Documents are posted under keys: the values of `together` neighbouring coordinates, with their place. A single value
+   is one frequent shingle that more and more unlike documents share as the table grows; two values at once are not.
+   Each of the coordinates - matches that may differ spoils one key, so two documents with `matches` equal ones share at
+   least `shared_keys`, one of them among the rarest keys - shared_keys + 1 of both. Only these prefixes are kept; keys
+   that one document alone has count as the rarest, and a document with fewer than `shared_keys` keys in common with
+   others drops out: no pair with `matches` is lost by that. Of posting lists with the same members one is kept.
 3. In each posting list, a leader is compared with every other member: rows grow with the lists, not their squares.
    Collisions are counted on the signatures; candidates with `matches` or more are confirmed on the full sets.
    Confirmed links are joined to components. A second round takes leaders by chance, in lists that still hold several components.
@@ -43,18 +45,27 @@ from quern.llm.common import SPACE_CHARS, Scratch, fresh
 @dataclass(frozen=True)
 class Settings:
     """percent: Jaccard similarity from which documents are linked. outsiders, members: shingles in a block of
-    either side of an exhaustive comparison; the members' are sorted. few_ids, few_rows: so many ids, or rows of several numbers, are broadcast at most."""
+    either side of an exhaustive comparison; the members' are sorted. together: coordinates in a key. few_ids, few_rows: so many ids, or rows of several numbers, are broadcast at most."""
 
     shingle: int = 5
     percent: int = 80
     coordinates: int = 96
     matches: int = 60
+    together: int = 2
     outsiders: int = 4_000_000
     members: int = 500_000
     few_ids: int = 1_000_000
     few_rows: int = 200_000
     seed: int = 5
 
+    @property
+    def shared_keys(self) -> int:
+        """Keys that two documents with `matches` equal coordinates share at least."""
+        n = -(-self.coordinates // self.together) - (self.coordinates - self.matches)
+        if n < 1:
+            raise ValueError("so many coordinates in a key could lose documents with `matches` equal ones")
+        return n
+
 
 class Shingler:
     """Sets of shingle hashes of texts in bytes; keeps the hashes of a bounded number of words."""
@@ -134,6 +145,12 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.select("doc_id", text_key("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key binary, signature array<int>")
 
 
+def postings(nodes: DataFrame, s: Settings) -> DataFrame:
+    """(node, pair) for each key of nodes (node, signature); pair is a hash of the key's place and values, so equal keys always meet."""
+    keys = F.transform(F.sequence(F.lit(1), F.lit(s.coordinates), F.lit(s.together)), lambda i: F.xxhash64(i, F.slice("signature", i, s.together)))
+    return nodes.select("node", F.explode(keys).alias("pair"))
+
+
 def shingle_sets(docs: DataFrame, s: Settings) -> DataFrame:
     """(node, signature, shingles) for documents (doc_id, text) that have words."""
 
@@ -251,13 +268,13 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, s: Settings, w: Scratch)
     sized = w.write(signed.drop("signature"), "sized")
     w.drop("signed")
 
-    # postings under (coordinate, value); those that one node alone has are told by their absence
-    posted = nodes.select("node", F.posexplode("signature").alias("i", "v")).select("node", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("v")).alias("pair"))
+    # keys that one node alone has are told by their absence
+    posted = postings(nodes, s)
     lists = w.write(posted.groupBy(F.col("pair").alias("of")).agg(F.count("*").alias("n")).where("n > 1"), "posted")
     # what grows with the documents is never broadcast, so the plan is the same at every size
     shared = posted.join(lists.hint("merge"), F.col("pair") == F.col("of"))
-    ranked = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("by")).where(F.size("by") >= s.matches)
-    prefix = ranked.select("node", F.explode(F.slice("by", F.lit(1), F.size("by") - (s.matches - 1))).alias("p")).select("node", F.col("p.pair").alias("pair"))
+    ranked = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("by")).where(F.size("by") >= s.shared_keys)
+    prefix = ranked.select("node", F.explode(F.slice("by", F.lit(1), F.size("by") - (s.shared_keys - 1))).alias("p")).select("node", F.col("p.pair").alias("pair"))
     prefix = w.write(prefix, "prefix-all")
     # of lists with the same members one is enough
     members = prefix.groupBy("pair").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("all"))

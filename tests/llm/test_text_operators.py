@@ -315,6 +315,31 @@ def test_near_dedup_hot_group_at_the_threshold(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.link(df, s=near_dedup.Settings(shingle=2, outsiders=900, members=900, few_ids=0, few_rows=0)).collect()} == want
 
 
+def test_near_dedup_leaves_unlike_texts_out_early(spark, monkeypatch):
+    """Texts that share many word pairs, each with others, but are not alike: what is stored after the signatures doesn't grow with them."""
+    rnd, made, write = random.Random(6), {}, Scratch.write
+    texts = [prose(rnd, 100, 100) for _ in range(400)]
+    texts += [x.rsplit(" ", 2)[0] for x in texts[:20]]
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name, **o: made.setdefault(name, write(self, df, name, **o)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.link(df, s=near_dedup.Settings(shingle=2)).collect()}
+    assert got == components(list(enumerate(texts)))
+    assert 40 <= made["sets"].count() < 80 and made["pairs-0"].count() < 80
+
+
+def test_near_dedup_keys_lose_no_pair(spark):
+    """36 of 96 coordinates differ, each in another key: 12 keys are still shared."""
+    a = list(range(96))
+    for spoilt in ([2 * k + k % 2 for k in range(36)], list(range(36)), [95 - k for k in range(36)]):
+        df = spark.createDataFrame([(1, a), (2, [-1 if k in spoilt else v for k, v in enumerate(a)])], "node long, signature array<int>")
+        s = near_dedup.Settings()
+        keys = {n: {r.pair for r in near_dedup.postings(df, s).where(F.col("node") == n).collect()} for n in (1, 2)}
+        assert len(keys[1]) == 48 and len(keys[1] & keys[2]) == (12 if spoilt[1] == 3 else 30) and s.shared_keys == 12
+    assert near_dedup.Settings(together=1).shared_keys == 60
+    with pytest.raises(ValueError):
+        _ = near_dedup.Settings(together=3).shared_keys
+
+
 def test_near_dedup_keeps_first(spark):
     df = spark.createDataFrame([(3, "a b c d e f", 1), (1, "A b c d e f", 2), (2, "other words stand here now", 3), (4, None, 4), (5, "", 5)], "doc_id long, text string, node int")
     out = near_dedup.keep_first(df)
